@@ -50,11 +50,11 @@ _CLAIM_COLUMNS = """
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims about parts from five pseudo-sources."""
-    columns = [c.strip() for c in _split(_CLAIM_COLUMNS.format(text="STRING"))]
+    columns = [c.strip() for c in split_columns(_CLAIM_COLUMNS.format(text="STRING"))]
     return table(spark, sf_dir, "lineitem").selectExpr(*columns, *SEQ)
 
 
-def _split(columns: str) -> list[str]:
+def split_columns(columns: str) -> list[str]:
     """Split a select list at top-level commas."""
     parts, depth, start = [], 0, 0
     for i, ch in enumerate(columns):
@@ -94,7 +94,7 @@ _LAUNCH_COLUMNS = """
 
 
 def launches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [c.strip() for c in _split(_LAUNCH_COLUMNS.format(text="STRING"))]
+    columns = [c.strip() for c in split_columns(_LAUNCH_COLUMNS.format(text="STRING"))]
     return table(spark, sf_dir, "orders").selectExpr(*columns)
 
 
@@ -114,7 +114,7 @@ SOURCES_SQL = "sources AS (SELECT " + _SOURCE_COLUMNS.format(text="VARCHAR") + "
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [c.strip() for c in _split(_SOURCE_COLUMNS.format(text="STRING"))]
+    columns = [c.strip() for c in split_columns(_SOURCE_COLUMNS.format(text="STRING"))]
     return table(spark, sf_dir, "lineitem").selectExpr(*columns)
 
 
@@ -135,5 +135,5 @@ CONFLICTS_SQL = "conflicts AS (SELECT " + _CONFLICT_COLUMNS.format(text="VARCHAR
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [c.strip() for c in _split(_CONFLICT_COLUMNS.format(text="STRING"))]
+    columns = [c.strip() for c in split_columns(_CONFLICT_COLUMNS.format(text="STRING"))]
     return table(spark, sf_dir, "lineitem").selectExpr(*columns)
