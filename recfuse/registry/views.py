@@ -102,7 +102,7 @@ LAUNCHES_SQL = "launches AS (SELECT " + _LAUNCH_COLUMNS.format(text="VARCHAR") +
 
 # Line items as lineage rows of the orders; quality is kept as an integer to avoid float ties.
 _SOURCE_COLUMNS = """
-    l_orderkey * 8 + l_linenumber AS id,
+    ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id,
     l_orderkey AS launch_id,
     concat('src', CAST(l_suppkey % 5 AS {text})) AS source_name,
     concat('https://s.example/', CAST(l_suppkey AS {text})) AS source_url,
@@ -120,7 +120,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Conflict records attached to orders, one per line item.
 _CONFLICT_COLUMNS = """
-    l_orderkey * 8 + l_linenumber AS id,
+    ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id,
     l_orderkey AS launch_id,
     CASE l_linenumber % 4 WHEN 0 THEN 'launch_date' WHEN 1 THEN 'status' WHEN 2 THEN 'payload_mass' ELSE 'orbit' END AS field_name,
     l_returnflag AS source1_value,
