@@ -11,6 +11,10 @@ from recfuse import constants as C
 # Java's own \w and \s are ASCII-only and its (?U) forms include combining marks.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+)
 
 
 def col(c: Column | str) -> Column:
@@ -18,7 +22,7 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(col(c), F.lit(SPACE_CHARS))
 
 
 def collapse_spaces(c: Column | str) -> Column:

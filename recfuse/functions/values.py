@@ -9,9 +9,23 @@ from recfuse import constants as C
 from recfuse.functions.text import col, strip
 
 NUMERAL = r"^[\s]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[\s]*$"
-# Accepted text forms of an instant, tried in this order; a missing zone means UTC.
-TIMESTAMP_FORMATS = ["yyyy-M-d'T'H:m:sXXX", "yyyy-M-d'T'H:m:sXX", "yyyy-M-d H:m:s", "yyyy-M-d"]
-EXTENDED_DATE_FORMATS = ["MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy"]
+# Accepted text forms of an instant with the shape each must have; a missing zone means UTC. The
+# shape is tested first because a failed parse costs an exception per row.
+_DAY, _CLOCK = r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}:\d{1,2}:\d{1,2}"
+TIMESTAMP_FORMATS = [
+    ("yyyy-M-d'T'H:m:sXXX", rf"^{_DAY}T{_CLOCK}(Z|[+-]\d\d:\d\d)$"),
+    ("yyyy-M-d'T'H:m:sXX", rf"^{_DAY}T{_CLOCK}[+-]\d{{4}}$"),
+    ("yyyy-M-d H:m:s", rf"^{_DAY} {_CLOCK}$"),
+    ("yyyy-M-d", rf"^{_DAY}$"),
+]
+_MONTH = r"[A-Z][a-z]{3,}"
+EXTENDED_DATE_FORMATS = [
+    ("MMMM d, yyyy", rf"^{_MONTH} \d{{1,2}}, \d{{4}}$"),
+    ("MMMM d yyyy", rf"^{_MONTH} \d{{1,2}} \d{{4}}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"),
+    ("d MMMM yyyy", rf"^\d{{1,2}} {_MONTH} \d{{4}}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+]
 
 
 def to_number(c: Column | str) -> Column:
@@ -20,10 +34,15 @@ def to_number(c: Column | str) -> Column:
     return F.when(F.rlike(text, F.lit(NUMERAL)), F.trim(text).try_cast("double"))
 
 
-def to_instant(c: Column | str, formats: list[str] | None = None) -> Column:
-    """Timestamp from text in one of a few fixed formats, else null. Blank counts as missing."""
-    text = F.nullif(col(c), F.lit(""))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in (formats or TIMESTAMP_FORMATS)])
+def to_instant(c: Column | str, formats: list[tuple[str, str]] | None = None) -> Column:
+    """Timestamp from text in one of a few fixed formats, else null."""
+    text = col(c)
+    return F.coalesce(
+        *[
+            F.when(F.rlike(text, F.lit(shape)), F.try_to_timestamp(text, F.lit(fmt)))
+            for fmt, shape in (formats or TIMESTAMP_FORMATS)
+        ]
+    )
 
 
 def micros(c: Column | str) -> Column:

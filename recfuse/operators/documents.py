@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recfuse import constants as C
 from recfuse.functions import text as X
+from recfuse.functions.pin import let, unless_empty
 from recfuse.operators import extract as E
 from recfuse.operators.rank import first_per_key
 
@@ -102,7 +103,10 @@ def document_records(
     t, origin = F.col("_text"), F.col(doc_id).cast("string")
 
     def from_labels(source: Column, labels: dict[str, list[str]], canonical: bool) -> Column:
-        return _assemble(labelled_values(source, labels), list(labels), origin, as_of, canonical, extended_dates)
+        return let(
+            labelled_values(source, labels),
+            lambda info: _assemble(info, list(labels), origin, as_of, canonical, extended_dates),
+        )
 
     def from_mention(name: Column) -> Column:
         return F.struct(
@@ -122,12 +126,12 @@ def document_records(
         "technical": F.array_compact(F.array(from_labels(t, C.TECHNICAL_LABELS, False))),
         "mention": F.transform(mention_names(t, C.MISSION_PATTERNS["mention"]), from_mention),
     }
-    tried = docs.select(doc_id, F.col(text).alias("_text")).withColumns({f"_{f}": rows_by[f] for f in formats})
-    hits = [
-        F.when(F.size(f"_{f}") > 0, F.struct(F.lit(f).alias("format"), F.col(f"_{f}").alias("rows"))) for f in formats
-    ]
-    rows = tried.withColumn("_c", F.coalesce(*hits)).select(
-        doc_id, F.col("_c.format").alias("format"), F.posexplode("_c.rows").alias("position", "_r")
+    def tagged(name: str) -> Column:
+        return unless_empty(F.transform(rows_by[name], lambda r: F.struct(F.lit(name).alias("format"), r.alias("record"))))
+
+    # The formats are tried in turn: a later one is evaluated only if the earlier ones found nothing.
+    rows = docs.select(doc_id, F.col(text).alias("_text")).select(
+        doc_id, F.posexplode(F.coalesce(*[tagged(f) for f in formats])).alias("position", "_r")
     )
-    flat = rows.select(doc_id, "format", "position", *[F.col(f"_r.{f}").alias(f) for f in FIELDS])
+    flat = rows.select(doc_id, F.col("_r.format").alias("format"), "position", *[F.col(f"_r.record.{f}").alias(f) for f in FIELDS])
     return first_per_key(flat, [doc_id, "slug"], [F.col("position")])

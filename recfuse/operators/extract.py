@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recfuse import constants as C
 from recfuse.functions import text as X
+from recfuse.functions.pin import let
 
 FLAGS = "(?iU)"
 # A number with or without thousands separators, before its unit.
@@ -77,14 +78,14 @@ def clean_title(c: Column | str) -> Column:
     """News title without agency prefix and suffix; null if generic and short, or too short."""
     t = F.regexp_replace(X.col(c), r"(?i)^(NASA|Press Release|News):\s*", "")
     t = F.regexp_replace(t, r"(?i)\s*-\s*NASA$", "")
-    generic = X.contains_any(t, C.GENERIC_TITLE_TERMS) & (F.length(t) < 30)
-    return F.when(~generic & (F.length(t) > 5), X.strip(t))
+    generic = lambda s: X.contains_any(s, C.GENERIC_TITLE_TERMS) & (F.length(s) < 30)
+    return let(t, lambda s: F.when(~generic(s) & (F.length(s) > 5), X.strip(s)))
 
 
 def cell_text(c: Column | str) -> Column:
     """Table cell text without [n] marks; null when at most one character is left."""
     t = X.strip(X.collapse_spaces(F.regexp_replace(X.col(c), r"\[\d+\]", "")))
-    return F.when(F.length(t) > 1, t)
+    return let(t, lambda s: F.when(F.length(s) > 1, s))
 
 
 def absolute(url: Column, base: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recfuse import constants as C
 from recfuse.functions import text as X
+from recfuse.functions.pin import let, pin
 from recfuse.operators import extract as E
 from recfuse.operators.rank import first_per_key
 from recfuse.sources import html as H
@@ -79,13 +80,12 @@ def _first_text(found: Column, longer_than: int) -> Column:
 
 def _select_one_text(scope: Column, selector: Selector, longer_than: int) -> Column:
     """Text of the first match of a selector, if long enough; later matches do not count."""
-    t = H.text_of(H.first(F.filter(scope, selector)))
-    return F.when(F.length(t) > longer_than, t)
+    found = H.text_of(H.first(F.filter(scope, selector)))
+    return let(found, lambda t: F.when(F.length(t) > longer_than, t))
 
 
 def _first_line(c: Column) -> Column:
-    line = H.first(E.lines(c))
-    return F.when(F.length(line).between(5, 100), line)
+    return let(H.first(E.lines(c)), lambda line: F.when(F.length(line).between(5, 100), line))
 
 
 def _time_or_text(scope: Column, text: Column, extended: bool) -> Column:
@@ -94,10 +94,12 @@ def _time_or_text(scope: Column, text: Column, extended: bool) -> Column:
 
 
 def _patch(scope: Column, site: Column) -> Column:
-    images = F.filter(scope, H.tagged("img"))
-    urls = F.filter(F.transform(images, lambda i: E.absolute(i["src"], site)), lambda u: F.coalesce(u != "", F.lit(False)))
-    sole = F.when(F.size(images) == 1, H.first(urls))
-    return F.coalesce(H.first(F.filter(urls, lambda u: X.contains_any(u, C.IMAGE_KEYWORDS))), sole)
+    def choose(images: Column) -> Column:
+        urls = F.filter(F.transform(images, lambda i: E.absolute(i["src"], site)), lambda u: F.coalesce(u != "", F.lit(False)))
+        likely = H.first(F.filter(urls, lambda u: X.contains_any(u, C.IMAGE_KEYWORDS)))
+        return F.coalesce(likely, F.when(F.size(images) == 1, H.first(urls)))
+
+    return let(F.filter(scope, H.tagged("img")), choose)
 
 
 def _webcast(scope: Column, site: Column) -> Column:
@@ -105,14 +107,15 @@ def _webcast(scope: Column, site: Column) -> Column:
     hosts = "|".join(h.replace(".", r"\.") for h in C.VIDEO_HOSTS)
     by_text = lambda a: X.contains_any(H.raw_of(a), C.WEBCAST_KEYWORDS)
     hit = H.first(F.filter(links, lambda a: by_text(a) | F.rlike(a["href"], F.lit(hosts))))
-    return F.when(by_text(hit), E.absolute(hit["href"], site)).otherwise(hit["href"])
+    return let(hit, lambda a: F.when(by_text(a), E.absolute(a["href"], site)).otherwise(a["href"]))
 
 
 def _record(df: DataFrame, fields: dict[str, Column], keep: Sequence[str]) -> DataFrame:
-    """Evaluate record fields one dependency level at a time."""
+    """Evaluate the name first, then the other fields for rows that have one."""
+    named = pin(df, "mission_name", fields["mission_name"]).filter(F.col("mission_name").isNotNull())
     for name, c in fields.items():
-        df = df.withColumn(name, c)
-    return df.filter(F.col("mission_name").isNotNull()).select(*keep)
+        named = named if name == "mission_name" else named.withColumn(name, c)
+    return named.select(*keep)
 
 
 RECORD = [
@@ -140,7 +143,7 @@ def card_records(pages: DataFrame, as_of: Column, extended_dates: bool = False)
         ],
         E.middle_lines(t),
     )
-    found = cards.withColumn("card_text", H.text_of(e)).filter(F.length("card_text") >= 10)
+    found = pin(cards, "card_text", H.text_of(e)).filter(F.length("card_text") >= 10)
     rows = _record(
         found,
         {
@@ -199,7 +202,7 @@ def news_records(
         X.strip(X.first_match(t, C.MISSION_PATTERNS["news"], flags=E.FLAGS)),
     )
     details = F.coalesce(F.substring(_first_text(F.filter(scope, H.tagged("p")), 50), 1, 500), E.first_sentences(t))
-    found = items.withColumn("item_text", H.text_of(e)).filter(F.length("item_text") >= 20)
+    found = pin(items, "item_text", H.text_of(e)).filter(F.length("item_text") >= 20)
     rows = _record(
         found,
         {
@@ -247,7 +250,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
     )
     texts = F.transform(cells(F.col("tr"), "td", "th"), lambda c: E.cell_text(H.text_of(c)))
     return (
-        rows.withColumn("cells", texts)
+        pin(rows, "cells", texts)
         .filter(F.size("cells") >= F.array_max(F.map_values("roles")) + 1)
         .select("page_id", "url", "table_no", "row_no", "roles", "cells")
     )
@@ -291,8 +294,7 @@ def list_records(pages: DataFrame, as_of: Column, keywords: Sequence[str] = tupl
     lists = F.filter("els", lambda e: H.tagged("ul", "ol")(e) & X.contains_any(H.raw_of(e), list(keywords)))
     items = F.flatten(F.transform(lists, lambda e: F.filter(H.inside(e), H.tagged("li"))))
     rows = (
-        pages.select("page_id", "url", "raw", "text", "els", F.explode(items).alias("e"))
-        .withColumn("item_text", H.text_of(F.col("e")))
+        pin(pages.select("page_id", "url", "raw", "text", "els", F.explode(items).alias("e")), "item_text", H.text_of(F.col("e")))
         .filter((F.length("item_text") >= 20) & ~F.col("item_text").startswith(":"))
     )
     t = F.col("item_text")

@@ -35,3 +35,12 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy row-wise work enough tasks when a table has fewer input splits than the cluster has cores.
+
+    A large table has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,7 @@ from recfuse import constants as C
 from recfuse.functions import text as X
 from recfuse.functions import values as V
 from recfuse.operators import validate as VA
-from recfuse.registry.base import query, table
+from recfuse.registry.base import query, spread, table
 from recfuse.registry.views import CONFLICTS_SQL, LAUNCHES_SQL, conflicts, launches, split_columns
 from recfuse.schema import LAUNCH_FIELDS, SOURCE_FIELDS
 
@@ -45,7 +45,7 @@ _RAW = """
 
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested raw claims as the scan delivers them, plus the line item's identifying columns."""
-    flat = table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in split_columns(_RAW)])
+    flat = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr(*[c.strip() for c in split_columns(_RAW)])
     return flat.select(
         F.struct(*LAUNCH_FIELDS).alias("raw"),
         F.struct(*SOURCE_FIELDS).alias("source"),

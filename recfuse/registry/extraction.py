@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recfuse.operators import documents as DO
 from recfuse.operators import extract as E
 from recfuse.operators import pages as PG
-from recfuse.registry.base import query, table
+from recfuse.registry.base import query, spread, table
 from recfuse.registry.serving import AS_OF, T
 from recfuse.sources import html as H
 
@@ -17,7 +17,7 @@ def _as_of():
 
 
 def _pages(spark, sf):
-    return H.parse_pages(table(spark, sf, "pages"))
+    return H.parse_pages(spread(table(spark, sf, "pages"), "page_id"))
 
 
 def _plain(html: str) -> str:
@@ -126,7 +126,7 @@ _CARD = """concat('<div><article class="launch-card"><h2>Order ', o_orderkey, '<
       1 AS strategy FROM o""",
 )
 def order_card_records(spark, sf):
-    pages = table(spark, sf, "orders").selectExpr("o_orderkey AS page_id", "'https://site.example/launches' AS url", f"{_CARD} AS html")
+    pages = spread(table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey AS page_id", "'https://site.example/launches' AS url", f"{_CARD} AS html")
     rows = PG.card_records(H.parse_pages(pages), _as_of())
     return rows.select(
         "page_id", "slug", "mission_name", F.col("launch_date").cast("timestamp_ntz").alias("launch_date"), "vehicle_type", "status",
@@ -150,7 +150,7 @@ _TABLE = """concat('<table class="', CASE WHEN o_orderkey % 6 = 0 THEN 'plain' E
       coalesce(NULL, '') AS details FROM orders WHERE o_orderkey % 6 <> 0""",
 )
 def order_table_records(spark, sf):
-    pages = table(spark, sf, "orders").selectExpr("o_orderkey AS page_id", "'https://site.example/list' AS url", f"{_TABLE} AS html")
+    pages = spread(table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey AS page_id", "'https://site.example/list' AS url", f"{_TABLE} AS html")
     rows = PG.table_records(H.parse_pages(pages), _as_of())
     return rows.select(
         "page_id", "mission_name", F.col("launch_date").cast("timestamp_ntz").alias("launch_date"), "vehicle_type",
@@ -171,7 +171,7 @@ _KIT = """concat('ANY PRESS KIT\\n\\n  MISSION OVERVIEW \\nMission: Order ', o_o
       CASE WHEN o_orderdate < {T} THEN 'success' ELSE 'upcoming' END AS status, 'Payload: goods of ' || o_custkey || '; Orbit: LEO' AS details FROM orders""",
 )
 def order_kit_records(spark, sf):
-    docs = table(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", f"{_KIT} AS text")
+    docs = spread(table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey AS doc_id", f"{_KIT} AS text")
     rows = DO.document_records(docs, _as_of())
     return rows.select(
         "doc_id", "format", "slug", F.col("launch_date").cast("timestamp_ntz").alias("launch_date"), "vehicle_type", "payload_mass",
@@ -187,7 +187,7 @@ def order_kit_records(spark, sf):
 )
 def document_sections(spark, sf):
     # Every line break of a document becomes a page mark, so that its lines are its sections.
-    marked = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n--- Page 1 ---\n")).alias("text"))
+    marked = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n--- Page 1 ---\n")).alias("text"))
     return DO.sections(marked).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("section")).alias("chars"))
 
 
@@ -202,7 +202,7 @@ _MENTIONS = [r"(licensed[\s\-]*[a-z]*)", r"(token[\s\-]*[a-z]*)", r"(th[aeiou]n[
     SELECT DISTINCT doc_id, regexp_replace(m, '^\s+|\s+$', '', 'g') AS mission_name FROM m""",
 )
 def document_mentions(spark, sf):
-    return DO.mentions(table(spark, sf, "documents"), patterns=_MENTIONS).select("doc_id", "mission_name")
+    return DO.mentions(spread(table(spark, sf, "documents"), "doc_id"), patterns=_MENTIONS).select("doc_id", "mission_name")
 
 
 @query(
