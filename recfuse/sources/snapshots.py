@@ -1,86 +1,109 @@
-"""Curated tables on plain Parquet: each commit writes a new snapshot folder, then a marker file.
+"""Curated tables on plain Parquet, published together.
 
-Readers take the newest snapshot that has its marker, so a half-written one is never seen and a
-path being read is never overwritten. A commit may carry a batch id; repeating it does nothing.
+Rows of commit ``n`` go to ``<table>/commit=n``; a marker written last lists the commits every table
+consists of. Readers follow the newest marker, so unfinished work is never seen and a path being
+read is never overwritten. A commit may carry a batch id; repeating it does nothing.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MARKER = "_COMMITTED"
+LOG = "commits"
 
 
 class SnapshotTables:
-    """A set of tables versioned together under one root folder on any Hadoop file system."""
+    """A set of tables versioned together under one root folder of any Hadoop file system."""
 
-    def __init__(self, spark: SparkSession, root: str, schemas: Mapping[str, T.StructType]):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), dict(schemas)
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        schemas: Mapping[str, T.StructType],
+        partitions: Mapping[str, Sequence[str]] | None = None,
+    ):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.schemas, self.partitions = dict(schemas), dict(partitions or {})
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        root = self._path(self.root)
-        if not self._fs.exists(root):
-            return []
-        found = []
-        for status in self._fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("snapshot=") and self._fs.exists(self._path(f"{self.root}/{name}/{MARKER}")):
-                found.append(int(name.split("=")[1]))
-        return sorted(found)
+        self._staged: set[str] = set()
 
     def version(self) -> int:
-        """Number of the current snapshot; 0 when nothing was committed yet."""
-        return max(self._versions(), default=0)
+        """Number of the current commit; 0 when nothing was committed yet."""
+        log = self._path(f"{self.root}/{LOG}")
+        if not self._fs.exists(log):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(log)]
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
 
-    def _marker(self, version: int) -> dict:
-        text = self.spark.read.text(f"{self.root}/snapshot={version}/{MARKER}", wholetext=True).first()
+    def _marker(self) -> dict:
+        v = self.version()
+        if not v:
+            return {"tables": {}, "batch": None}
+        text = self.spark.read.text(f"{self.root}/{LOG}/{v}.json", wholetext=True).first()
         return json.loads(text[0])
 
     def last_batch(self) -> int | None:
-        v = self.version()
-        return self._marker(v).get("batch") if v else None
+        return self._marker()["batch"]
 
     def read(self, table: str) -> DataFrame:
-        v = self.version()
-        schema = self.schemas[table]
-        if not v:
-            return self.spark.createDataFrame([], schema)
-        base = self._marker(v)["tables"][table]
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in base])
+        commits = self._marker()["tables"].get(table)
+        return self._load(table, commits) if commits else self.spark.createDataFrame([], self.schemas[table])
+
+    def _load(self, table: str, commits: Sequence[int], extra: Sequence[T.StructField] = ()) -> DataFrame:
+        fields = [*self.schemas[table].fields, *extra]
+        schema = T.StructType([*fields, T.StructField("commit", T.IntegerType())])
+        base = f"{self.root}/{table}"
+        # One commit is read from its own folder; several are partitions of the table folder.
+        paths = [f"{base}/commit={commits[0]}"] if len(commits) == 1 else [base]
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        return rows.filter(F.col("commit").isin(list(commits))).select(*[f.name for f in fields])
+
+    def stage(self, table: str, df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        """Write rows for the next commit and read them back; they stay invisible until it."""
+        target = self.version() + 1
+        self._write(target, table, df, extra)
+        self._staged.add(table)
+        return self._load(table, [target], [df.schema[c] for c in extra])
 
     def commit(
         self,
         replace: Mapping[str, DataFrame] | None = None,
         append: Mapping[str, DataFrame] | None = None,
+        staged_replace: Sequence[str] = (),
+        staged_append: Sequence[str] = (),
         batch: int | None = None,
     ) -> int:
-        """Write replaced tables whole and appended rows as new files; publish all of it at once."""
-        current = self.version()
-        old = self._marker(current) if current else {"tables": {}, "batch": None}
-        if batch is not None and old.get("batch") is not None and batch <= old["batch"]:
+        """Write and publish replaced tables, appended rows and staged rows, all at once."""
+        current, old = self.version(), self._marker()
+        if batch is not None and old["batch"] is not None and batch <= old["batch"]:
             return current
-        target, files = current + 1, dict(old["tables"])
-        for name, df in (replace or {}).items():
-            files[name] = [self._write(target, name, df)]
-        for name, df in (append or {}).items():
-            files[name] = [*files.get(name, []), self._write(target, name, df)]
-        body = {"tables": files, "batch": old.get("batch") if batch is None else batch}
-        stream = self._fs.create(self._path(f"{self.root}/snapshot={target}/{MARKER}"), True)
-        stream.write(bytearray(json.dumps(body), "utf-8"))
+        if not {*staged_replace, *staged_append} <= self._staged:
+            raise ValueError("a table to publish was not staged")
+        target, commits = current + 1, dict(old["tables"])
+        for name, df in {**(replace or {}), **(append or {})}.items():
+            self._write(target, name, df)
+        for name in (*(replace or {}), *staged_replace):
+            commits[name] = [target]
+        for name in (*(append or {}), *staged_append):
+            commits[name] = [*commits.get(name, []), target]
+        self._staged.clear()
+        body = json.dumps({"tables": commits, "batch": old["batch"] if batch is None else batch})
+        stream = self._fs.create(self._path(f"{self.root}/{LOG}/{target}.json"), False)
+        stream.write(bytearray(body, "utf-8"))
         stream.close()
         return target
 
-    def _write(self, version: int, name: str, df: DataFrame) -> str:
-        schema = self.schemas[name]
-        part = f"snapshot={version}/{name}"
-        df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("overwrite").parquet(
-            f"{self.root}/{part}"
-        )
-        return part
+    def _write(self, version: int, name: str, df: DataFrame, extra: Sequence[str] = ()) -> None:
+        fields = self.schemas[name].fields
+        rows = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in fields], *extra)
+        writer = rows.write.mode("overwrite")
+        if name in self.partitions:
+            writer = writer.partitionBy(*self.partitions[name])
+        writer.parquet(f"{self.root}/{name}/commit={version}")
