@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,6 +173,12 @@ def freshness_state(df: DataFrame, updated: str, as_of: Column) -> DataFrame:
     )
 
 
+def run_checks(checks: Mapping[str, Callable[[], DataFrame]], only: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the registered health checks, each under its registered name."""
+    names = [n for n in checks if only is None or n in only]
+    return reduce(DataFrame.unionByName, [checks[n]().withColumn("name", F.lit(n)) for n in names])
+
+
 def overall_health(checks: DataFrame) -> DataFrame:
     s = F.col("status")
     counted = checks.agg(

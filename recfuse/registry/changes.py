@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recfuse.operators import upsert as UP
+from recfuse.plans.persist import plan_batch, totals
 from recfuse.registry.base import query, table
 from recfuse.registry.serving import T, as_of
 from recfuse.registry.views import CONFLICTS_SQL, LAUNCHES_SQL, SOURCES_SQL, conflicts, launches, sources
@@ -158,3 +159,33 @@ def retained_conflicts(spark, sf):
 )
 def cleanup_counts(spark, sf):
     return UP.cleanup_counts(sources(spark, sf), conflicts(spark, sf), as_of())
+
+
+_BATCH = f"""{_MERGED}, s AS (SELECT launch_id, count(*) AS n FROM (WITH {SOURCES_SQL} SELECT * FROM sources) GROUP BY 1),
+    c AS (SELECT launch_id, count(*) AS n FROM (WITH {CONFLICTS_SQL} SELECT * FROM conflicts WHERE field_name = 'status') GROUP BY 1),
+    b AS (SELECT m.slug, m.change = 'created' AS was_created, coalesce(s.n, 0) AS sources_created, coalesce(c.n, 0) AS conflicts_created
+        FROM m LEFT JOIN s ON s.launch_id = m.k LEFT JOIN c ON c.launch_id = m.k WHERE m.change <> 'kept')"""
+
+
+def _batch(spark, sf):
+    slug = F.concat(F.lit("order-"), "launch_id")
+    s = sources(spark, sf).withColumn("slug", slug).withColumnRenamed("id", "ingest_seq").drop("launch_id")
+    c = conflicts(spark, sf).filter("field_name = 'status'").select(
+        slug.alias("slug"), "field_name", "source1_value", "source2_value", "confidence_score", F.col("id").alias("ingest_seq")
+    )
+    return plan_batch(_current(spark, sf), _incoming(spark, sf), s, c, as_of())
+
+
+@query("batch_summary", "S14", f"WITH {_BATCH} SELECT * FROM b")
+def batch_summary(spark, sf):
+    return _batch(spark, sf).summary.drop("id")
+
+
+@query(
+    "batch_totals",
+    "S14",
+    f"""WITH {_BATCH} SELECT count(*) FILTER (was_created) AS launches_created, count(*) FILTER (NOT was_created) AS launches_updated,
+        CAST(sum(sources_created) AS BIGINT) AS total_sources_created, CAST(sum(conflicts_created) AS BIGINT) AS total_conflicts_created FROM b""",
+)
+def batch_totals(spark, sf):
+    return totals(_batch(spark, sf).summary)

@@ -134,8 +134,13 @@ def field_coverage(spark, sf):
 
 
 def _checks(spark, sf):
-    fresh = ST.freshness_check(table(spark, sf, "events"), "ts", F.lit("2024-01-31 14:00:00").cast("timestamp"))
-    return ST.completeness_check(claims(spark, sf), "dt", "details").unionByName(fresh)
+    now = F.lit("2024-01-31 14:00:00").cast("timestamp")
+    return ST.run_checks(
+        {
+            "data_quality": lambda: ST.completeness_check(claims(spark, sf), "dt", "details"),
+            "scraping_freshness": lambda: ST.freshness_check(table(spark, sf, "events"), "ts", now),
+        }
+    )
 
 
 _CHECKS = f"""{CLAIMS_SQL}, p AS (SELECT count(dt) / count(*) * 100 AS d, count(details) / count(*) * 100 AS t FROM claims),

@@ -271,7 +271,7 @@ def curated_records(spark, sf):
         count(*) FILTER (len(errors) = 0) / count(*) AS validation_success_rate FROM e""",
 )
 def curation_statistics(spark, sf):
-    return statistics(_run(spark, sf, detect_conflicts=False)).drop("base_conflicts")
+    return statistics(_run(spark, sf, detect_conflicts=False), base=False)
 
 
 # Scalar expression library over events.

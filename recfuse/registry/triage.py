@@ -68,7 +68,7 @@ def conflicts_by_key(spark, sf):
 @query(
     "conflict_listing",
     "C6 C7 C9 C14 C16 C17",
-    f"""WITH {_PAIRS} SELECT k, field_name, least(v1, v2) AS low_value, greatest(v1, v2) AS high_value,
+    f"""WITH {_PAIRS} SELECT field_name, least(v1, v2) AS low_value, greatest(v1, v2) AS high_value,
         round(conf, 9) AS confidence_score, severity, auto_resolvable,
         CASE severity WHEN 'critical' THEN 'Manual review required for ' || field_name || ' conflict. Values significantly different.'
             WHEN 'high' THEN 'Prioritize higher-quality source for ' || field_name || '. Consider manual verification.'
@@ -80,7 +80,6 @@ def conflicts_by_key(spark, sf):
 def conflict_listing(spark, sf):
     found = CO.detect(claims(spark, sf), P).filter(F.col("field_name").isin("name", "status", "orbit"))
     return found.groupBy(
-        "k",
         "field_name",
         F.least("source1_value", "source2_value").alias("low_value"),
         F.greatest("source1_value", "source2_value").alias("high_value"),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recfuse import schema as S
-from recfuse.registry.base import table
+from recfuse.registry.base import spread, table
 
-SEQ = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+# Ingest order of a claim: one integer, unique inside a key on all given tables.
+SEQ = ("claim_id",)
 
 CLAIMS_PROFILE = S.RecordProfile(
     key="k",
@@ -34,6 +35,7 @@ CLAIMS_WEIGHTS = {"status": 2.0, "dt": 1.5, "mass": 1.0, "orbit": 1.0, "details"
 
 _CLAIM_COLUMNS = """
     l_partkey AS k,
+    (l_orderkey * 8 + l_linenumber) * 10000 + {days} AS claim_id,
     concat('src', CAST(l_suppkey % 5 AS {text})) AS source_name,
     CAST(1 + l_suppkey % 5 AS INT) AS prio,
     (l_suppkey * 37) % 101 AS q100,
@@ -50,8 +52,9 @@ _CLAIM_COLUMNS = """
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims about parts from five pseudo-sources."""
-    columns = [c.strip() for c in split_columns(_CLAIM_COLUMNS.format(text="STRING"))]
-    return table(spark, sf_dir, "lineitem").selectExpr(*columns, *SEQ)
+    days = "datediff(l_shipdate, DATE '1990-01-01')"
+    columns = [c.strip() for c in split_columns(_CLAIM_COLUMNS.format(text="STRING", days=days))]
+    return spread(table(spark, sf_dir, "lineitem"), "l_partkey").selectExpr(*columns)
 
 
 def split_columns(columns: str) -> list[str]:
@@ -67,8 +70,8 @@ def split_columns(columns: str) -> list[str]:
 
 CLAIMS_SQL = (
     "claims AS (SELECT "
-    + _CLAIM_COLUMNS.format(text="VARCHAR")
-    + ", row_number() OVER (ORDER BY " + ", ".join(SEQ) + ") AS seq FROM lineitem)"
+    + _CLAIM_COLUMNS.format(text="VARCHAR", days="date_diff('day', TIMESTAMP '1990-01-01', l_shipdate)")
+    + ", claim_id AS seq FROM lineitem)"
 )
 RANKED_SQL = (
     CLAIMS_SQL

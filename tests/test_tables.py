@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recfuse.operators import serve as SV
 from recfuse.operators import stats as ST
 from recfuse.operators import upsert as UP
+from recfuse.plans.persist import persist_batch, totals
 from recfuse.schema import CONFLICTS_TABLE, LAUNCHES_TABLE, SOURCES_TABLE
 from recfuse.sources import union as UN
 from recfuse.sources.snapshots import SnapshotTables
@@ -120,3 +121,35 @@ def test_partial_update_can_set_null(spark):
     cur = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, s string, t string")
     patch = spark.createDataFrame([(1, None, None, ["s"])], "id long, s string, t string, set_fields array<string>")
     assert {tuple(r) for r in UP.partial_update(cur, patch).collect()} == {(1, None, "x"), (2, "b", "y")}
+
+
+def test_batch_with_children(spark, tmp_path):
+    store = SnapshotTables(spark, str(tmp_path / "db"), SCHEMAS)
+    rows = incoming(spark, [("a", "A", "upcoming", "LEO", 1), ("b", "B", "success", None, 2)])
+    sources = spark.createDataFrame([("a", "s1", "https://x", NOW, 0.9, 1), ("a", "s2", "https://x", NOW, 0.8, 2), ("zz", "s3", "https://x", NOW, 0.8, 3)],
+                                    "slug string, source_name string, source_url string, scraped_at timestamp, data_quality_score double, ingest_seq long")
+    found = spark.createDataFrame([("b", "orbit", "LEO", "GTO", 0.7, 1)],
+                                  "slug string, field_name string, source1_value string, source2_value string, confidence_score double, ingest_seq long")
+    summary = persist_batch(store, rows, sources, found, F.lit(NOW), batch=1)
+    got = {r.slug: (r.was_created, r.sources_created, r.conflicts_created) for r in summary.collect()}
+    assert got == {"a": (True, 2, 0), "b": (True, 0, 1)}
+    assert store.read("sources").count() == 2 and store.read("conflicts").first().resolved is False
+    assert totals(summary).first().launches_created == 2
+    left = UP.delete_cascade(store.read("launches"), store.read("sources"), store.read("conflicts"), store.read("launches").filter("slug = 'a'"))
+    assert [df.count() for df in left] == [1, 0, 1]
+
+
+def test_document_pages(spark):
+    from recfuse.operators.documents import document_pages
+
+    docs = spark.createDataFrame([(1, "\n--- Page 1 ---\nfirst text\n\n--- Page 2 ---\nsecond text\n")], "doc_id long, text string")
+    assert [r.text.strip() for r in document_pages(docs).orderBy("page_no").collect()] == ["first text", "second text"]
+
+
+def test_corrupt_claims_are_kept(spark, tmp_path):
+    from recfuse.sources.readers import read_claims
+
+    path = tmp_path / "claims.json"
+    path.write_text('{"raw": {"slug": "a"}, "source": {"source_name": "s"}, "ingest_seq": 1}\nnot json\n')
+    rows = read_claims(spark, str(path)).collect()
+    assert [r._corrupt_record for r in rows] == [None, "not json"]
