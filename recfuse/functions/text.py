@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recfuse import constants as C
+from recfuse.functions.pin import let
 
 # Character classes equal to the Unicode word and whitespace classes the rules were written for;
 # Java's own \w and \s are ASCII-only and its (?U) forms include combining marks.
@@ -100,10 +103,18 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def contains_any(c: Column | str, keywords: list[str]) -> Column:
-    """Any keyword occurs in the text. One alternation keeps it a single scan of the text."""
-    quoted = "|".join(r"\Q" + k + r"\E" for k in keywords)
-    return F.coalesce(F.rlike(F.lower(col(c)), F.lit(quoted)), F.lit(False))
+def contains_any(c: Column | str, keywords: list[str], lowered: bool = False) -> Column:
+    """Any keyword occurs in the text, which may be given ``lowered`` already."""
+    text = col(c) if lowered else F.lower(col(c))
+    if len(keywords) > 4:
+        # Many keywords: one alternation keeps it a single scan of the text.
+        quoted = "|".join(r"\Q" + k + r"\E" for k in keywords)
+        return F.coalesce(F.rlike(text, F.lit(quoted)), F.lit(False))
+
+    def any_in(t: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(t, F.lit(k)) for k in keywords])
+
+    return F.coalesce(any_in(text) if lowered else let(text, any_in), F.lit(False))
 
 
 def first_match(c: Column | str, patterns: list[str], group: int = 1, flags: str = "(?i)") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +70,14 @@ def status(c: Column | str, kind: str, date: Column, as_of: Column) -> Column:
 
     Order matters: "unsuccessful" contains "success" and so counts as a success, as ever.
     """
-    out = status_from_date(date, as_of)
-    for value, group in reversed(C.STATUS_WORDS[kind]):
-        out = F.when(X.contains_any(c, group), F.lit(value)).otherwise(out)
-    return out
+
+    def decide(lowered: Column) -> Column:
+        out = status_from_date(date, as_of)
+        for value, group in reversed(C.STATUS_WORDS[kind]):
+            out = F.when(X.contains_any(lowered, group, lowered=True), F.lit(value)).otherwise(out)
+        return out
+
+    return let(F.lower(X.col(c)), decide)
 
 
 def clean_title(c: Column | str) -> Column:
@@ -84,8 +90,8 @@ def clean_title(c: Column | str) -> Column:
 
 def cell_text(c: Column | str) -> Column:
     """Table cell text without [n] marks; null when at most one character is left."""
-    t = X.strip(X.collapse_spaces(F.regexp_replace(X.col(c), r"\[\d+\]", "")))
-    return let(t, lambda s: F.when(F.length(s) > 1, s))
+    unmarked = lambda s: F.when(s.contains("["), F.regexp_replace(s, r"\[\d+\]", "")).otherwise(s)
+    return let(X.strip(X.collapse_spaces(let(X.col(c), unmarked))), lambda s: F.when(F.length(s) > 1, s))
 
 
 def absolute(url: Column, base: Column) -> Column:
@@ -120,17 +126,22 @@ def first_sentences(c: Column) -> Column:
 
 
 def indicator_count(c: Column) -> Column:
-    lowered = F.lower(c)
-    words = F.array(*[F.lit(w) for w in C.TABLE_INDICATORS])
-    return F.aggregate(words, F.lit(0), lambda n, w: n + F.contains(lowered, w).cast("int"))
+    def count(lowered: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.contains(lowered, F.lit(w)).cast("int") for w in C.TABLE_INDICATORS])
+
+    return let(F.lower(c), count)
 
 
 def header_role(c: Column) -> Column:
     """Column role of a header text; null when no role's word occurs."""
-    out = F.lit(None).cast("string")
-    for role, role_words in reversed(C.HEADER_ROLES):
-        out = F.when(X.contains_any(c, role_words), F.lit(role)).otherwise(out)
-    return out
+
+    def choose(lowered: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for role, role_words in reversed(C.HEADER_ROLES):
+            out = F.when(X.contains_any(lowered, role_words, lowered=True), F.lit(role)).otherwise(out)
+        return out
+
+    return let(F.lower(c), choose)
 
 
 def instant_attr(c: Column) -> Column:

@@ -14,37 +14,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ELEMENT = (
-    "struct<n:int,last:int,parent:int,tag:string,cls:string,testid:string,href:string,src:string,time:string,"
-    "r0:int,rn:int,s0:int,sn:int>"
-)
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = {"script", "style", "template"}
+INTS = ("n", "last", "parent", "r0", "rn", "s0", "sn")
+TEXTS = ("tag", "cls", "testid", "href", "src", "time")
+ELEMENT = "struct<" + ",".join([*(f"{c}:int" for c in INTS), *(f"{c}:string" for c in TEXTS)]) + ">"
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = frozenset(("script", "style", "template"))
 
 
 class _Elements(HTMLParser):
-    def __init__(self) -> None:
+    """Appends one page's elements to the columns of a batch."""
+
+    def __init__(self, columns: dict[str, list]) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list[dict] = []
-        self.open: list[dict] = []
+        self.columns, self.base = columns, len(columns["n"])
+        self.open: list[tuple[int, str]] = []
         self.raw: list[str] = []
         self.text: list[str] = []
         self.raw_at = self.text_at = 0
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        e = {
-            "n": len(self.elements), "parent": self.open[-1]["n"] if self.open else -1, "tag": tag,
-            "cls": a.get("class"), "testid": a.get("data-testid"), "href": a.get("href"),
-            "src": a.get("src") or a.get("data-src"), "time": a.get("datetime"),
-            "r0": self.raw_at, "s0": self.text_at,
-        }
-        self.elements.append(e)
-        self.open.append(e)
+        a, c = dict(attrs), self.columns
+        at = len(c["n"])
+        values = (
+            at - self.base, 0, self.open[-1][0] - self.base if self.open else -1, self.raw_at, 0, self.text_at, 0,
+            tag, a.get("class"), a.get("data-testid"), a.get("href"), a.get("src") or a.get("data-src"), a.get("datetime"),
+        )
+        for name, value in zip((*INTS, *TEXTS), values):
+            c[name].append(value)
+        self.open.append((at, tag))
         if tag in VOID:
             self._close()
 
@@ -54,12 +55,12 @@ class _Elements(HTMLParser):
             self._close()
 
     def handle_endtag(self, tag):
-        if any(e["tag"] == tag for e in self.open):
-            while self._close()["tag"] != tag:
+        if any(t == tag for _, t in self.open):
+            while self._close() != tag:
                 pass
 
     def handle_data(self, data):
-        if self.open and self.open[-1]["tag"] in HIDDEN:
+        if self.open and self.open[-1][1] in HIDDEN:
             return
         stripped = data.strip()
         self.raw.append(data)
@@ -67,36 +68,45 @@ class _Elements(HTMLParser):
         self.raw_at += len(data)
         self.text_at += len(stripped)
 
-    def _close(self):
-        e = self.open.pop()
-        e["last"] = len(self.elements) - 1
-        e["rn"], e["sn"] = self.raw_at - e["r0"], self.text_at - e["s0"]
-        return e
+    def _close(self) -> str:
+        at, tag = self.open.pop()
+        c = self.columns
+        c["last"][at] = len(c["n"]) - 1 - self.base
+        c["rn"][at] = self.raw_at - c["r0"][at]
+        c["sn"][at] = self.text_at - c["s0"][at]
+        return tag
 
-    def finish(self):
+    def finish(self) -> tuple[str, str]:
         self.close()
         while self.open:
             self._close()
-        return "".join(self.raw), "".join(self.text), self.elements
-
-
-def _tokenise(html: str | None) -> tuple[str, str, list[dict]]:
-    parser = _Elements()
-    parser.feed(html or "")
-    return parser.finish()
+        return "".join(self.raw), "".join(self.text)
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns: dict[str, list] = {c: [] for c in (*INTS, *TEXTS)}
+        raw, text, offsets = [], [], [0]
+        for html in batch.column("html").to_pylist():
+            parser = _Elements(columns)
+            parser.feed(html or "")
+            r, t = parser.finish()
+            raw.append(r)
+            text.append(t)
+            offsets.append(len(columns["n"]))
+        fields = [pa.array(columns[c], pa.int32() if c in INTS else pa.string()) for c in (*INTS, *TEXTS)]
+        els = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, [*INTS, *TEXTS]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(raw, pa.string()), pa.array(text, pa.string()), els],
+            ["page_id", "url", "raw", "text", "els"],
+        )
 
 
 def parse_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows (page_id, url, raw, text, els) for a table of pages."""
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     id_type = source.schema["page_id"].dataType.simpleString()
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            raw, text, els = zip(*[_tokenise(h) for h in pdf["html"]]) if len(pdf) else ((), (), ())
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "raw": list(raw), "text": list(text), "els": list(els)})
-
-    return source.mapInPandas(batches, f"page_id {id_type}, url string, raw string, text string, els array<{ELEMENT}>")
+    return source.mapInArrow(_tokenise, f"page_id {id_type}, url string, raw string, text string, els array<{ELEMENT}>")
 
 
 def inside(e: Column) -> Column:
