@@ -76,7 +76,8 @@ def page_strategy(spark, sf):
     is_search = F.contains("url", F.lit("search"))
     (so, se), (no, ne) = PG.first_non_empty(PG.SEARCH_SELECTORS), PG.first_non_empty(PG.NEWS_SELECTORS)
     return pages.select(
-        "page_id", F.when(is_search, so).otherwise(no).alias("strategy"), F.size(F.when(is_search, se).otherwise(ne)).alias("items")
+        "page_id", F.when(is_search, so).otherwise(no).alias("strategy"),
+        F.size(F.when(is_search, se).otherwise(ne)).cast("bigint").alias("items"),
     )
 
 
