@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,15 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
     def add(run: Run) -> Run:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = Query(name, run, sql, covers)
-        return run
+
+        @wraps(run)
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Naive timestamps of the tables are UTC instants, whatever the session was set to.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return run(spark, sf_dir)
+
+        QUERIES[name] = Query(name, in_utc, sql, covers)
+        return in_utc
 
     return add
 

@@ -21,6 +21,8 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoints of finished loops are removed with their references.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Needed by the stateful admission operator.
         .config(
             "spark.sql.streaming.stateStore.providerClass",
