@@ -25,7 +25,7 @@ _C = f"WITH {CONFLICTS_SQL} SELECT id, launch_id, field_name, confidence_score,
 _CCOLS = ["id", "launch_id", "field_name", "confidence_score", "resolved", "created_at"]
 
 
-@query("launch_by_slug", "Q1", _L + "WHERE slug = 'order-77'")
+@query("launch_by_slug", "Q1 S2", _L + "WHERE slug = 'order-77'")
 def launch_by_slug(spark, sf):
     return SV.lookup(launches(spark, sf), "slug", "order-77").select(_COLS)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recfuse.functions import text as X
 from recfuse.functions import values as V
-from recfuse.plans.curate import CurateConfig, Curated, curate, statistics
+from recfuse.plans.curate import CurateConfig, Curated, curate, run_history, statistics
 from recfuse.registry.base import query, table
 from recfuse.registry.cleaning import AS_OF as CLEAN_AS_OF
 from recfuse.registry.cleaning import _CHECKED_SQL, raw_claims
@@ -274,6 +274,18 @@ def curation_statistics(spark, sf):
     return statistics(_run(spark, sf, detect_conflicts=False), base=False)
 
 
+@query(
+    "run_history",
+    "A16",
+    f"""WITH {_CHECKED_SQL} SELECT ingest_seq % 5 AS batch, count(*) AS input_records, count(*) FILTER (len(errors) = 0) AS validated_records,
+        count(*) FILTER (len(errors) > 0) AS validation_errors FROM e GROUP BY 1""",
+)
+def run_history_rows(spark, sf):
+    # Five runs by the last digit of the ingest number.
+    checked = _run(spark, sf, detect_conflicts=False).checked.withColumn("batch", F.col("ingest_seq") % 5)
+    return run_history(checked, "batch")
+
+
 # Scalar expression library over events.
 @query(
     "event_ages",
