@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recfuse.llm import packing, quality_rules, secrets
+from recfuse.llm import ngram_join, packing, quality_rules, secrets, suffix_dedup
 from recfuse.llm.common import stored
 
 
@@ -13,6 +13,16 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the least doc_id."""
+    return ngram_join.keep_first(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 400 bytes or more that start anywhere else too."""
+    return suffix_dedup.remove(docs)
+
+
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
     return secrets.redact(docs)
@@ -23,9 +33,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", rules), ("secret scan", redacted), ("packing", packed)]
+STAGES = [("quality rules", rules), ("n-gram join", one_of_each), ("suffix dedup", without_repeats), ("secret scan", redacted), ("packing", packed)]
 
-#: The tokenizer and the packing can't be said in SQL; tests/llm compares with a brute-force version.
+#: The tokenizers and the packing can't be said in SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
