@@ -12,7 +12,8 @@ found or follows from others; pairs inside a class are not listed.
    salted, then joined by the least of each salt): a number of pairs linear in the rows. These are
    verified and give first classes.
 4. Nodes that a chain of shared shingles joins but verified pairs don't are indexed by the counts of
-   their shingles in ``DIMENSIONS`` hash groups. Pages of nodes, ordered by size, form the leaves of
+   their shingles in hash groups (about one
+   group for eight shingles). Pages of nodes, ordered by size, form the leaves of
    an R-tree: the overlap of a query with anything below a box is at most the sum of the minima of
    the query's counts and the box's upper corner. Pages whose sizes can't match never meet; pairs
    in one class are skipped; surviving pairs are verified against the whole sets.
@@ -40,14 +41,16 @@ from recfuse.llm.components import components
 NGRAM = 5
 PERCENT = 80
 #: Bound on the list of frequent shingles (8 bytes each).
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Shingles a task counts together, and how often it must meet one.
 COUNTED = 4_000_000
-MET = 3
+MET = 2
 SALTS = 32
-DIMENSIONS = 128
+LEAST_DIMENSIONS, MOST_DIMENSIONS = 64, 2048
 PAGE = 512
 LEAF = 16
+#: So many nodes are looked up by a broadcast (about 40 bytes each); more of them by a shuffle of the texts.
+BROADCAST_NODES = 200_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _NONE = -(2**63)
@@ -107,25 +110,26 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), keys of every document."""
+    """doc_id, n, d1, d2 (digest of the set), keys, point of every document."""
     frequent = _frequent(docs)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         for ids, rows in pairs_of(batches, "doc_id", "text"):
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, points = [], [], [], []
             for text in rows:
                 found = shingles(text)
                 sizes.append(len(found))
                 digests.append(xxh3_128_intdigest(found.tobytes()))
                 keys.append(prefix(found, frequent))
+                points.append(point(found))
             offsets = np.cumsum([0, *map(len, keys)])
             flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             halves = (np.array([(d >> s) & (2**64 - 1) for d in digests], np.uint64).view(np.int64) for s in (64, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, halves), flat], ["doc_id", "n", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, halves), flat, pa.array(points, pa.binary())], ["doc_id", "n", "d1", "d2", "keys", "point"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, point binary")
 
 
 def _links(nodes: DataFrame) -> DataFrame:
@@ -159,38 +163,69 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["node", "n", "items"])
 
     own = texts(docs).withColumn("first_id", F.coalesce("doc_id", F.lit(_NONE)))
-    found = own.join(nodes, "first_id").select("node", "d1", "d2", "text").mapInArrow(run, "node long, n long, items array<long>")
-    return found.dropDuplicates(["node"])
+    few = nodes.count() <= BROADCAST_NODES
+    found = own.join(F.broadcast(nodes) if few else nodes, "first_id").select("node", "d1", "d2", "text")
+    return found.mapInArrow(run, "node long, n long, items array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs a, b that the bound doesn't rule out."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("xa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("xb"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("na", "xa", "nb", "xb"))
+            keep = [may_link(n, m, int(np.minimum(*alike(unpacked(x), unpacked(y))).sum(dtype=np.int64))) for n, x, m, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return sized.select("a", "b", "na", "xa", "nb", "xb").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are as similar as asked."""
+    pairs = stored(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stored(_sets(docs, nodes.select("node", "first_id", "d1", "d2").join(asked, "node", "left_semi")), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-    fits = sized.where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))).select("a", "b")
-    both = fits.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
-    return both.select("a", "b", "na", "nb", common.alias("c")).where(f"100 * c >= {PERCENT} * (na + nb - c)").select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("c"))
+    return both.where(f"100 * c >= {PERCENT} * (na + nb - c)").select("a", "b")
 
 
-def counts(items: np.ndarray) -> np.ndarray:
-    """The point of a set: how many shingles fall into each hash group."""
-    return np.bincount((items.view(np.uint64) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype("<u4")
+def point(found: np.ndarray) -> bytes:
+    """How many shingles fall into each hash group; the number of groups, a power of two, follows the size."""
+    groups = LEAST_DIMENSIONS
+    while groups < MOST_DIMENSIONS and 8 * groups < len(found):
+        groups *= 2
+    return np.minimum(np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype("<u2").tobytes()
 
 
-def _points(sets: DataFrame) -> DataFrame:
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, items in pairs_of(batches, "node", "n", "items"):
-            points = [counts(np.array(i, np.int64)).tobytes() for i in items]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], ["node", "n", "point"])
+def unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u2")
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """The same points with fewer groups (the last axis)."""
+    return points.reshape(*points.shape[:-1], -1, groups).sum(axis=-2, dtype=np.int64) if points.shape[-1] > groups else points
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    groups = min(a.shape[-1], b.shape[-1])
+    return folded(a, groups), folded(b, groups)
+
 
-    return sets.mapInArrow(run, "node long, n long, point binary")
+def may_link(n, m, bound):
+    """Whether sets of n and m elements may be as similar as asked if they share no more than the bound."""
+    return 100 * bound >= PERCENT * (n + m - bound)
 
 
 def survivors(pa_, na, ca, pb, nb, cb) -> Iterator[tuple[int, int]]:
     """Pairs of places whose bound reaches the limit and whose classes differ: queries a against a tree of b."""
     leaves = range(0, len(nb), LEAF)
+    pa_, pb = alike(pa_, pb)
     corners = np.array([pb[i : i + LEAF].max(axis=0) for i in leaves])
     least = np.array([nb[i : i + LEAF].min() for i in leaves])
     most = np.array([nb[i : i + LEAF].max() for i in leaves])
@@ -207,7 +242,7 @@ def survivors(pa_, na, ca, pb, nb, cb) -> Iterator[tuple[int, int]]:
             at = at[at < len(nb)]
             at = at[cb[at] != ca[i]]
             bound = np.minimum(np.minimum(pb[at], pa_[i]).sum(axis=1, dtype=np.int64), np.minimum(nb[at], na[i]))
-            for j in at[100 * bound >= PERCENT * (na[i] + nb[at] - bound)]:
+            for j in at[may_link(na[i], nb[at], bound)]:
                 yield i, int(j)
 
 
@@ -223,8 +258,10 @@ def _tree_pairs(points: DataFrame) -> DataFrame:
     met = which.join(pages.select("chain", "page", "rows"), ["chain", "page"]).join(other.select("chain", "page2", "rows2"), ["chain", "page2"])
 
     def unpack(rows):
+        points = [unpacked(r["point"]) for r in rows]
+        groups = min(map(len, points))
         return (
-            np.frombuffer(b"".join(r["point"] for r in rows), "<u4").reshape(len(rows), DIMENSIONS),
+            np.array([folded(x, groups) for x in points]),
             np.array([r["n"] for r in rows], np.int64),
             np.array([r["root"] for r in rows], np.int64),
         )
@@ -243,25 +280,23 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach), first (whether the row stands for its component)."""
     signed = stored(_signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed")
     full = signed.where("n > 0")
-    found = full.groupBy("d1", "d2").agg(F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("first_id"), F.first("keys").alias("keys"))
+    found = full.groupBy("d1", "d2").agg(
+        F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point")
+    )
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = stored(_links(nodes), "links")
-    chained = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(docs, nodes.select("node", "first_id", "d1", "d2").join(chained, "node", "left_semi")), "sets")
-    sure = stored(_verified(links, sets), "verified")
+    links = stored(_links(nodes.select("node", "keys")), "links")
+    sure = stored(_verified(_possible(links, nodes), docs, nodes), "verified")
     chains, roots = components(links).withColumnRenamed("root", "chain"), components(sure)
-    state = sets.select("node").join(chains, "node").join(roots, "node", "left").select("node", "chain", F.coalesce("root", "node").alias("root"))
-    state = stored(state, "state")
+    state = stored(chains.join(roots, "node", "left").select("node", "chain", F.coalesce("root", "node").alias("root")), "state")
     open_chains = state.groupBy("chain").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("chain")
     left = state.join(open_chains, "chain", "left_semi")
-    points = _points(sets.join(left.select("node"), "node", "left_semi")).join(left, "node")
-    more = _verified(_tree_pairs(points), sets)
+    more = _verified(_tree_pairs(nodes.select("node", "n", "point").join(left, "node")), docs, nodes)
     roots = components(sure.union(more))
     named = nodes.select("d1", "d2", "node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "root").select("d1", "d2", "component_id")
     whole = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.coalesce("doc_id", F.lit(_NONE)))
-    out = signed.drop("keys").join(named, ["d1", "d2"], "left").withColumn("component_id", whole)
+    out = signed.drop("keys", "point").join(named, ["d1", "d2"], "left").withColumn("component_id", whole)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component_id") != _NONE, F.col("component_id")).alias("component_id"))
 
 
