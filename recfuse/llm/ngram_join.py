@@ -41,7 +41,7 @@ from recfuse.llm.components import components
 NGRAM = 5
 PERCENT = 80
 #: Bound on the list of frequent shingles (8 bytes each).
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 #: Shingles a task counts together, and how often it must meet one.
 COUNTED = 4_000_000
 MET = 2
@@ -85,7 +85,7 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that tasks met several times together, over all documents; the most frequent FREQUENT of them."""
+    """Shingles that tasks met several times together, over all documents; no more than FREQUENT of the most frequent."""
 
     def counted(kept: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(kept), return_counts=True)
@@ -105,7 +105,16 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             yield counted(kept)
 
     met = texts(docs).select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    rows = met.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()
+    met = stored(met, "met")
+    # How many shingles are met how often, the often met first; up to the bound.
+    of = met.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()
+    least, total = 1 << 62, 0
+    for row in of:
+        total += row["c"]
+        if total > FREQUENT:
+            break
+        least = row["n"]
+    rows = met.where(F.col("n") >= least).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
