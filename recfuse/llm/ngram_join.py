@@ -12,11 +12,15 @@ found or follows from others; pairs inside a class are not listed.
    salted, then joined by the least of each salt): a number of pairs linear in the rows. These are
    verified and give first classes.
 4. Nodes that a chain of shared shingles joins but verified pairs don't are indexed by the counts of
-   their shingles in hash groups (about one
-   group for eight shingles). Pages of nodes, ordered by size, form the leaves of
-   an R-tree: the overlap of a query with anything below a box is at most the sum of the minima of
-   the query's counts and the box's upper corner. Pages whose sizes can't match never meet; pairs
-   in one class are skipped; surviving pairs are verified against the whole sets.
+   their shingles in hash groups. Pages of nodes, ordered by size, form the leaves of an R-tree: the
+   overlap of a query with anything below a box is at most the sum of the minima of the query's
+   counts and the box's upper corner. Pages whose sizes can't match never meet; pairs in one class
+   are skipped. Of the surviving pairs a page lists a spanning forest only: it says which nodes can
+   still be linked to each other, in chains much shorter than those of step 2.
+5. These shorter chains are paged with their whole sets and indexed by finer counts (a group for two
+   shingles). A task verifies surviving pairs on the spot and merges the classes it knows, so it
+   writes no more links than it has nodes. First each page meets itself and its neighbour. Where a
+   chain still has several classes, all its pages meet, but for two pages of its largest class.
 
 The R-tree alone can't deal work out at scale: counts of unlike long texts differ too little for
 its boxes to prune, so step 2 brings together what may be linked.
@@ -46,8 +50,9 @@ FREQUENT = 1 << 18
 COUNTED = 4_000_000
 MET = 2
 SALTS = 32
-LEAST_DIMENSIONS, MOST_DIMENSIONS = 64, 2048
-PAGE = 512
+LEAST_DIMENSIONS, MOST_DIMENSIONS, FINE_DIMENSIONS = 64, 2048, 8192
+#: Shingles that fill a page; each node counts as so many more.
+PAGE, ROW = 1 << 18, 256
 LEAF = 16
 #: So many nodes are looked up by a broadcast (about 40 bytes each); more of them by a shuffle of the texts.
 BROADCAST_NODES = 200_000
@@ -154,7 +159,7 @@ def _links(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, items: the whole sets of the given nodes (node, first_id, d1, d2), made again from the texts."""
+    """node, n, items: the whole sets of the given nodes (node, first_id, d1, d2) as bytes, made again from the texts."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
@@ -167,14 +172,13 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 if xxh3_128_intdigest(found.tobytes()) == ((hi & (2**64 - 1)) << 64 | lo & (2**64 - 1)):
                     keep.append(node)
                     sets.append(found)
-            offsets = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["node", "n", "items"])
+            columns = [pa.array(keep, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "items"])
 
     own = texts(docs).withColumn("first_id", F.coalesce("doc_id", F.lit(_NONE)))
     few = nodes.count() <= BROADCAST_NODES
     found = own.join(F.broadcast(nodes) if few else nodes, "first_id").select("node", "d1", "d2", "text")
-    return found.mapInArrow(run, "node long, n long, items array<long>").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node long, n long, items binary").dropDuplicates(["node"])
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -197,11 +201,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = stored(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stored(_sets(docs, nodes.select("node", "first_id", "d1", "d2").join(asked, "node", "left_semi")), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    common = F.size(F.array_intersect("ia", "ib")).cast("long")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("c"))
-    return both.where(f"100 * c >= {PERCENT} * (na + nb - c)").select("a", "b")
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(as_set(x), as_set(y)) for x, y in zip(batch.column("ia").to_pylist(), batch.column("ib").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
+
+
+def as_set(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) are as similar as asked."""
+    return may_link(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)))
 
 
 def point(found: np.ndarray) -> bytes:
@@ -212,6 +229,10 @@ def point(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype("<u2").tobytes()
 
 
+def fine_point(found: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
 def unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u2")
 
@@ -231,8 +252,8 @@ def may_link(n, m, bound):
     return 100 * bound >= PERCENT * (n + m - bound)
 
 
-def survivors(pa_, na, ca, pb, nb, cb) -> Iterator[tuple[int, int]]:
-    """Pairs of places whose bound reaches the limit and whose classes differ: queries a against a tree of b."""
+def _near(pa_, na, ca, pb, nb, cb) -> Iterator[tuple[int, np.ndarray]]:
+    """For queries a, the places in a tree of b whose bound reaches the limit and whose classes differ."""
     leaves = range(0, len(nb), LEAF)
     pa_, pb = alike(pa_, pb)
     corners = np.array([pb[i : i + LEAF].max(axis=0) for i in leaves])
@@ -251,38 +272,110 @@ def survivors(pa_, na, ca, pb, nb, cb) -> Iterator[tuple[int, int]]:
             at = at[at < len(nb)]
             at = at[cb[at] != ca[i]]
             bound = np.minimum(np.minimum(pb[at], pa_[i]).sum(axis=1, dtype=np.int64), np.minimum(nb[at], na[i]))
-            for j in at[may_link(na[i], nb[at], bound)]:
-                yield i, int(j)
+            yield i, at[may_link(na[i], nb[at], bound)]
 
 
-def _tree_pairs(points: DataFrame) -> DataFrame:
-    """a, b: pairs inside a chain (column chain) but not in one class (column root) that the R-tree can't rule out."""
-    ranked = points.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("chain").orderBy("n", "node")) - 1) / PAGE))
-    rows = F.array_sort(F.collect_list(F.struct("n", "node", "root", "point")))
-    pages = stored(ranked.groupBy("chain", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"), rows.alias("rows")), "pages")
-    other = pages.select("chain", F.col("page").alias("page2"), F.col("least").alias("least2"), F.col("rows").alias("rows2"))
-    meet = (F.col("page2") >= F.col("page")) & (100 * F.col("most") >= PERCENT * F.col("least2"))
+def survivors(pa_, na, ca, pb, nb, cb) -> Iterator[tuple[int, int]]:
+    """Pairs of places whose bound reaches the limit and whose classes differ: queries a against a tree of b."""
+    for i, near in _near(pa_, na, ca, pb, nb, cb):
+        yield from ((i, j) for j in near.tolist())
+
+
+class Page:
+    """Nodes of a chain with their classes, sizes and points; with whole sets (column items) or points (column point)."""
+
+    def __init__(self, rows: list[dict]):
+        self.node = np.array([r["node"] for r in rows], np.int64)
+        self.root = np.array([r["root"] for r in rows], np.int64)
+        self.n = np.array([r["n"] for r in rows], np.int64)
+        self.sets = [as_set(r["items"]) for r in rows] if "items" in rows[0] else None
+        groups = LEAST_DIMENSIONS
+        while self.sets and groups < FINE_DIMENSIONS and 2 * groups < self.n.max():
+            groups *= 2
+        points = [fine_point(x, groups) for x in self.sets] if self.sets else [unpacked(r["point"]) for r in rows]
+        least = min(map(len, points))
+        self.points = np.array([folded(x, least) for x in points], np.int32)
+
+
+def forest(a: Page, b: Page) -> Iterator[tuple[int, int]]:
+    """Node pairs that join what is apart: verified ones where both pages have sets, else surviving ones.
+
+    Pairs of one class, and pairs that earlier pairs of these pages join already, are skipped.
+    """
+    nodes, at = np.unique(np.concatenate([a.node, b.node]), return_inverse=True)
+    group = np.empty(len(nodes), np.int64)
+    group[at] = np.concatenate([a.root, b.root]) if a.sets else at
+    at_a, at_b = at[: len(a.node)], at[len(a.node) :]
+    for i, near in _near(a.points, a.n, a.root, b.points, b.n, b.root):
+        for j in near[group[at_b[near]] != group[at_a[i]]].tolist():
+            own, other = group[at_a[i]], group[at_b[j]]
+            if own != other and (not a.sets or similar(a.sets[i], b.sets[j])):
+                group[group == other] = own
+                yield int(a.node[i]), int(b.node[j])
+
+
+def _paged(state: DataFrame, *order: str) -> DataFrame:
+    """state (node, n, chain, ...) with a page number: a chain cut by size where its shingles fill a page."""
+    filled = F.sum(F.col("n") + ROW).over(Window.partitionBy("chain").orderBy(*order, "n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return state.withColumn("page", F.floor(filled / PAGE))
+
+
+def _forests(placed: DataFrame, column: str, meet: str) -> DataFrame:
+    """a, b: the forests of all page pairs that fulfil ``meet`` (columns page, page2, main, main2) and whose sizes can match.
+
+    placed: node, n, chain, page, main, root and the named column.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("n", "node", "root", column)))
+    pages = placed.groupBy("chain", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("main").alias("main"), rows.alias("rows"))
+    pages = stored(pages, "pages")
+    first = pages.select("chain", "page", "main", "least", "most")
+    second = first.toDF("chain", "page2", "main2", "least2", "most2")
+    sizes = f"100 * most >= {PERCENT} * least2 and 100 * most2 >= {PERCENT} * least"
     # Small keys meet first, rows follow.
-    which = pages.select("chain", "page", "most").join(other.select("chain", "page2", "least2"), "chain").where(meet).select("chain", "page", "page2")
-    met = which.join(pages.select("chain", "page", "rows"), ["chain", "page"]).join(other.select("chain", "page2", "rows2"), ["chain", "page2"])
-
-    def unpack(rows):
-        points = [unpacked(r["point"]) for r in rows]
-        groups = min(map(len, points))
-        return (
-            np.array([folded(x, groups) for x in points]),
-            np.array([r["n"] for r in rows], np.int64),
-            np.array([r["root"] for r in rows], np.int64),
-        )
+    which = first.join(second, "chain").where(f"page2 >= page and {sizes} and ({meet})").select("chain", "page", "page2")
+    met = which.join(pages.select("chain", "page", "rows"), ["chain", "page"])
+    alone = met.where("page = page2").select("rows", F.lit(None).cast(pages.schema["rows"].dataType).alias("rows2"))
+    other = pages.select("chain", F.col("page").alias("page2"), F.col("rows").alias("rows2"))
+    met = alone.union(met.where("page < page2").join(other, ["chain", "page2"]).select("rows", "rows2"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for first, second, same in pairs_of(batches, "rows", "rows2", "same"):
-            out = []
-            for a, b, own in zip(first, second, same, strict=True):
-                out += [(a[i]["node"], b[j]["node"]) for i, j in survivors(*unpack(a), *unpack(b)) if not own or a[i]["node"] < b[j]["node"]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return met.select("rows", "rows2", (F.col("page") == F.col("page2")).alias("same")).repartition(F.xxhash64("rows.node", "rows2.node")).mapInArrow(run, "a long, b long")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a = Page(batch.column("rows")[k].as_py())
+                second = batch.column("rows2")[k].as_py()
+                found = list(forest(a, Page(second) if second else a))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return met.repartition(F.xxhash64("rows.node", "rows2.node")).mapInArrow(run, "a long, b long")
+
+
+def _classed(state: DataFrame, roots: DataFrame) -> DataFrame:
+    """state (node, n, chain) of the chains that have several classes, with the root of each node's class."""
+    named = state.select("node", "n", "chain").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = stored(named, "state")
+    several = named.groupBy("chain").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("chain")
+    return named.join(several, "chain", "left_semi")
+
+
+def _rest(links: DataFrame, sure: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: verified pairs that join the classes which the sure pairs leave apart."""
+    left = _classed(components(links).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), components(sure))
+    placed = _paged(left).withColumn("main", F.lit(False)).join(nodes.select("node", "point"), "node")
+    linkable = stored(_forests(placed, "point", "true"), "linkable")
+    short = stored(components(linkable).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), "short")
+    sets = stored(_sets(docs, nodes.select("node", "first_id", "d1", "d2").join(short, "node", "left_semi")), "sets").select("node", "items")
+
+    left = _classed(short, components(sure))
+    placed = _paged(left).withColumn("main", F.lit(False)).join(sets, "node")
+    found = stored(_forests(placed, "items", "page2 <= page + 1"), "found")
+    # Chains with several classes and pages that have not met.
+    far = left.groupBy("chain").agg(F.sum(F.col("n") + ROW).alias("filled")).where(F.col("filled") >= 2 * PAGE).select("chain")
+    left = _classed(left.join(far, "chain", "left_semi"), components(sure.union(found)))
+    largest = left.groupBy("chain", "root").count().groupBy("chain").agg(F.max_by("root", F.struct("count", "root")).alias("_main"))
+    left = left.join(largest, "chain").withColumn("main", F.col("root") == F.col("_main")).drop("_main")
+    parted = _paged(left, "main")
+    # A page with nodes of other classes too is no page of the largest class: main is the least value of its nodes.
+    return found.union(_forests(parted.join(sets, "node"), "items", "not (main and main2)"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -295,11 +388,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = stored(_links(nodes.select("node", "keys")), "links")
     sure = stored(_verified(_possible(links, nodes), docs, nodes), "verified")
-    chains, roots = components(links).withColumnRenamed("root", "chain"), components(sure)
-    state = stored(chains.join(roots, "node", "left").select("node", "chain", F.coalesce("root", "node").alias("root")), "state")
-    open_chains = state.groupBy("chain").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("chain")
-    left = state.join(open_chains, "chain", "left_semi")
-    more = _verified(_tree_pairs(nodes.select("node", "n", "point").join(left, "node")), docs, nodes)
+    more = stored(_rest(links, sure, docs, nodes), "more")
     roots = components(sure.union(more))
     named = nodes.select("d1", "d2", "node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -156,6 +156,35 @@ def test_ngram_join(small, rows):
     assert kept.columns == small.columns
 
 
+def test_ngram_join_over_several_pages(spark, monkeypatch):
+    """A large group around the limit, in pages of few nodes: some copies are linked to few others or none."""
+    monkeypatch.setattr(ngram_join, "PAGE", 3000)
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(1, 6), replace=False):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    got = ngram_join.classes(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string"))
+    assert collected(got, "n_shingles", "component_id") == brute_classes(rows)
+    assert len({c for _, (_, c) in brute_classes(rows)}) > 2
+
+
+def test_forest_joins_what_surviving_pairs_join():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, 90).astype(np.uint64)) for _ in range(12)]
+    sets += [np.unique(np.concatenate([x[k:], rng.integers(0, 1 << 60, k).astype(np.uint64)])) for k in (3, 9, 30) for x in sets[:12]]
+    page = ngram_join.Page([{"node": i, "root": i, "n": len(x), "items": x.tobytes()} for i, x in enumerate(sets)])
+    label = list(range(len(sets)))
+    for a, b in ngram_join.forest(page, page):
+        assert label[a] != label[b] and ngram_join.similar(sets[a], sets[b])
+        label = [label[a] if x == label[b] else x for x in label]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if ngram_join.similar(sets[i], sets[j])]
+    assert len(pairs) > 12 and all(label[i] == label[j] for i, j in pairs)
+
+
 def test_tree_finds_every_possible_pair():
     rng = np.random.default_rng(2)
     points = rng.integers(0, 4, (70, 64))
