@@ -51,8 +51,8 @@ COUNTED = 4_000_000
 MET = 2
 SALTS = 32
 LEAST_DIMENSIONS, MOST_DIMENSIONS, FINE_DIMENSIONS = 64, 2048, 8192
-#: Shingles that fill a page; each node counts as so many more.
-PAGE, ROW = 1 << 18, 256
+#: Shingles that fill a page of whole sets, how many times as many fill one of points, and how many more each node counts.
+PAGE, OF_POINTS, ROW = 1 << 18, 8, 256
 LEAF = 16
 #: So many nodes are looked up by a broadcast (about 40 bytes each); more of them by a shuffle of the texts.
 BROADCAST_NODES = 200_000
@@ -314,10 +314,10 @@ def forest(a: Page, b: Page) -> Iterator[tuple[int, int]]:
                 yield int(a.node[i]), int(b.node[j])
 
 
-def _paged(state: DataFrame, *order: str) -> DataFrame:
+def _paged(state: DataFrame, *order: str, times: int = 1) -> DataFrame:
     """state (node, n, chain, ...) with a page number: a chain cut by size where its shingles fill a page."""
     filled = F.sum(F.col("n") + ROW).over(Window.partitionBy("chain").orderBy(*order, "n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return state.withColumn("page", F.floor(filled / PAGE))
+    return state.withColumn("page", F.floor(filled / (times * PAGE)))
 
 
 def _forests(placed: DataFrame, column: str, meet: str) -> DataFrame:
@@ -346,7 +346,7 @@ def _forests(placed: DataFrame, column: str, meet: str) -> DataFrame:
                 found = list(forest(a, Page(second) if second else a))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return met.repartition(F.xxhash64("rows.node", "rows2.node")).mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _classed(state: DataFrame, roots: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def _classed(state: DataFrame, roots: DataFrame) -> DataFrame:
 def _rest(links: DataFrame, sure: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: verified pairs that join the classes which the sure pairs leave apart."""
     left = _classed(components(links).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), components(sure))
-    placed = _paged(left).withColumn("main", F.lit(False)).join(nodes.select("node", "point"), "node")
+    placed = _paged(left, times=OF_POINTS).withColumn("main", F.lit(False)).join(nodes.select("node", "point"), "node")
     linkable = stored(_forests(placed, "point", "true"), "linkable")
     short = stored(components(linkable).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), "short")
     sets = stored(_sets(docs, nodes.select("node", "first_id", "d1", "d2").join(short, "node", "left_semi")), "sets").select("node", "items")
