@@ -124,13 +124,13 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), keys, point of every document."""
+    """doc_id, hash (of the text), n, d1, d2 (digest of the set), keys, point of every document."""
     frequent = _frequent(docs)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
-        for ids, rows in pairs_of(batches, "doc_id", "text"):
+        for ids, hashes, rows in pairs_of(batches, "doc_id", "hash", "text"):
             sizes, digests, keys, points = [], [], [], []
             for text in rows:
                 found = shingles(text)
@@ -141,9 +141,9 @@ def _signed(docs: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, keys)])
             flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             halves = (np.array([(d >> s) & (2**64 - 1) for d in digests], np.uint64).view(np.int64) for s in (64, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, halves), flat, pa.array(points, pa.binary())], ["doc_id", "n", "d1", "d2", "keys", "point"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, hashes, sizes)), *map(pa.array, halves), flat, pa.array(points, pa.binary())], ["doc_id", "hash", "n", "d1", "d2", "keys", "point"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, point binary")
+    return texts(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, d1 long, d2 long, keys array<long>, point binary")
 
 
 def _links(nodes: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _links(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, items: the whole sets of the given nodes (node, first_id, d1, d2) as bytes, made again from the texts."""
+    """node, n, items: the whole sets of the given nodes (node, first_id, first_hash, d1, d2) as bytes, made again from the texts."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
@@ -168,16 +168,16 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep, sets = [], []
             for node, hi, lo, text in zip(ids, d1, d2, rows, strict=True):
                 found = shingles(text)
-                # Another text may share the doc_id.
+                # Another text may share the doc_id and, by chance, the hash.
                 if xxh3_128_intdigest(found.tobytes()) == ((hi & (2**64 - 1)) << 64 | lo & (2**64 - 1)):
                     keep.append(node)
                     sets.append(found)
             columns = [pa.array(keep, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "n", "items"])
 
-    own = texts(docs).withColumn("first_id", F.coalesce("doc_id", F.lit(_NONE)))
+    own = texts(docs).select(F.coalesce("doc_id", F.lit(_NONE)).alias("first_id"), F.xxhash64("text").alias("first_hash"), "text")
     few = nodes.count() <= BROADCAST_NODES
-    found = own.join(F.broadcast(nodes) if few else nodes, "first_id").select("node", "d1", "d2", "text")
+    found = own.join(F.broadcast(nodes) if few else nodes, ["first_id", "first_hash"]).select("node", "d1", "d2", "text")
     return found.mapInArrow(run, "node long, n long, items binary").dropDuplicates(["node"])
 
 
@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are as similar as asked."""
     pairs = stored(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(docs, nodes.select("node", "first_id", "d1", "d2").join(asked, "node", "left_semi")), "sets")
+    sets = stored(_sets(docs, nodes.select("node", "first_id", "first_hash", "d1", "d2").join(asked, "node", "left_semi")), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
 
@@ -363,7 +363,7 @@ def _rest(links: DataFrame, sure: DataFrame, docs: DataFrame, nodes: DataFrame)
     placed = _paged(left, times=OF_POINTS).withColumn("main", F.lit(False)).join(nodes.select("node", "point"), "node")
     linkable = stored(_forests(placed, "point", "true"), "linkable")
     short = stored(components(linkable).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), "short")
-    sets = stored(_sets(docs, nodes.select("node", "first_id", "d1", "d2").join(short, "node", "left_semi")), "sets").select("node", "items")
+    sets = stored(_sets(docs, nodes.select("node", "first_id", "first_hash", "d1", "d2").join(short, "node", "left_semi")), "sets").select("node", "items")
 
     left = _classed(short, components(sure))
     placed = _paged(left).withColumn("main", F.lit(False)).join(sets, "node")
@@ -378,30 +378,38 @@ def _rest(links: DataFrame, sure: DataFrame, docs: DataFrame, nodes: DataFrame)
     return found.union(_forests(parted.join(sets, "node"), "items", "not (main and main2)"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach), first (whether the row stands for its component)."""
-    signed = stored(_signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed")
-    full = signed.where("n > 0")
-    found = full.groupBy("d1", "d2").agg(
-        F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point")
-    )
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and d1, d2, root, first of every node: first is the least row (null ids last) of the root's component."""
+    signed = stored(_signed(docs), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    found = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(row).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"))
+    found = found.withColumn("first_id", F.coalesce("first.doc_id", F.lit(_NONE))).withColumn("first_hash", F.col("first.hash"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = stored(_links(nodes.select("node", "keys")), "links")
     sure = stored(_verified(_possible(links, nodes), docs, nodes), "verified")
     more = stored(_rest(links, sure, docs, nodes), "more")
     roots = components(sure.union(more))
-    named = nodes.select("d1", "d2", "node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "root").select("d1", "d2", "component_id")
-    whole = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.coalesce("doc_id", F.lit(_NONE)))
-    out = signed.drop("keys", "point").join(named, ["d1", "d2"], "left").withColumn("component_id", whole)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component_id") != _NONE, F.col("component_id")).alias("component_id"))
+    named = nodes.select("d1", "d2", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    return signed, named.select("d1", "d2", "root").join(least, "root")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach; null if all of them are) of every row."""
+    signed, named = _named(docs)
+    named = named.select("d1", "d2", F.col("first.doc_id").alias("component_id"))
+    out = signed.drop("keys", "point").join(named, ["d1", "d2"], "left")
+    whole = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the least doc_id; all rows without words. Columns as they are."""
-    found = classes(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # Repeated rows share a doc_id: one row of those stays.
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """One row of each component, that with the least doc_id (null ids last, equal ids by a hash of the text); all rows without words. Columns as they are."""
+    _, named = _named(docs)
+    firsts = named.select(F.coalesce("first.doc_id", F.lit(_NONE)).alias("_k1"), F.col("first.hash").alias("_k2")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    worded = text.rlike(r"[^ \t\n\x0B\f\r]")
+    keyed = docs.where(worded).withColumn("_k1", F.coalesce("doc_id", F.lit(_NONE))).withColumn("_k2", F.xxhash64(text))
+    # Repeated rows share the key: one row of those stays.
+    out = keyed.join(firsts, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return out.select(docs.columns).union(docs.where(~worded))

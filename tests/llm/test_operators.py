@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,40 @@ def test_ngram_join(small, rows):
     assert kept.columns == small.columns
 
 
+def test_keep_first_over_null_shared_and_repeated_ids(spark):
+    """One row of each brute-force component stays, that with the least id; null ids and texts that share an id are told apart."""
+    line = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    texts = [
+        (None, line("a")), (None, line("b")), (None, line("c")), (None, line("c") + " more"),  # nulls: a, b alone; c twice
+        (None, line("d")), (4, line("d") + " more"), (9, line("d")),  # a null id beside real ones
+        (5, line("e")), (5, line("f")), (5, line("g")), (3, line("g") + " more"),  # one id, three texts; g belongs to 3
+        (6, line("h")), (6, line("h")), (6, line("h") + " more"),  # repeated and near rows of one id
+        (7, ""), (7, None), (None, " \n\t"), (None, None), (8, "\x0b\x0c\r"), (7, ""),  # no words
+        (None, "\u00a0"), (None, "\u00a0"), (-(2**62), "one two"), (None, "one two"),
+    ]
+    rows = [{"doc_id": i, "text": t, "part": k} for k, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, part int").repartition(3)
+    assert collected(ngram_join.classes(df), "n_shingles", "component_id") == brute_classes(rows)
+    # Each row's component by brute force: ids made unique, in the order of the ids, null ids last.
+    order = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, text_of(r)))
+    component = {}
+    for k, r in enumerate(order):
+        words = text_of(r).encode().lower().split()
+        five = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+        like = [component[j] for j in range(k) if five and 100 * len(five & order[j]["five"]) >= 80 * len(five | order[j]["five"])]
+        r["five"], component[k] = five, min(like, default=k)
+    groups = defaultdict(list)
+    for k, r in enumerate(order):
+        groups[component[k]].append(r)
+    for got in (ngram_join.keep_first(df).collect(), corpus_pipeline.one_of_each(spark, df, "").collect()):
+        kept = {r["part"] for r in got}
+        assert len(got) == len(kept)
+        for own in groups.values():
+            parts = {r["part"] for r in own if r["doc_id"] == own[0]["doc_id"]}
+            left = {r["part"] for r in own} & kept
+            assert left == {own[0]["part"]} if not own[0]["five"] else len(left) == 1 and left <= parts
+
+
 def test_ngram_join_over_several_pages(spark, monkeypatch):
     """A large group around the limit, in pages of few nodes: some copies are linked to few others or none."""
     monkeypatch.setattr(ngram_join, "PAGE", 3000)
