@@ -7,8 +7,11 @@ their word positions; likeness matches equal anchors by position: of the anchors
 fingerprints share (each hash at its first position), those displaced alike count, over all
 different anchors of both.
 
-A text of fewer than K words has one anchor: the hash of all its words. Null and empty texts have the
-same fingerprint, of no words. Equal texts have equal fingerprints, likeness 1. Repeated rows are
+Only a text of ``SURE`` = 2K-S-1 words or more has an anchor in any case. In shorter ones K shrinks to
+S+1, where every k-mer is a closed syncmer; texts of S words or fewer have one anchor, the hash of all
+their words. A short text and a longer one are compared by the k-mers of S+1 words of both; those of
+the longer one are kept below 2 SURE words, above which less than half of it can be shared: likeness 0.
+Null and empty texts have the same fingerprint, of no words. Equal texts have equal fingerprints, likeness 1. Repeated rows are
 fingerprinted each on their own. Columns other than doc_id and text are ignored.
 """
 
@@ -24,12 +27,14 @@ from recfuse.llm.common import stored, texts
 
 K = 12
 S = 2
+#: So many words hold a closed syncmer in any case.
+SURE = 2 * K - S - 1
 _SPACE = r"\s+"
 _NONE = -(2**63)
 
 
 def _anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add column ``name``: struct of the hashes (h) and the word positions (i) of the text's closed syncmers."""
+    """Add column ``name``: struct of the hashes (h) and the word positions (i) of the text's closed syncmers, and the hashes of all k-mers of S+1 words (s) of a text below 2 SURE words."""
     inner = K - S  # place of the last substring
     df = df.withColumn("_w", F.transform(F.split(text, _SPACE), lambda w: F.xxhash64(w)))
     pairs = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - (S - 1), F.lit(0))), lambda h, i: F.xxhash64(h, F.get("_w", i + 1)))
@@ -44,10 +49,18 @@ def _anchors(df: DataFrame, text: str, name: str) -> DataFrame:
 
     firsts = F.slice("_s", 1, F.greatest(F.size("_s") - inner, F.lit(0)))
     df = df.withColumn("_i", F.array_compact(F.transform(firsts, lambda h, i: F.when(closed(h, i), i))))
-    hashes = F.transform("_i", lambda i: F.shiftright(F.xxhash64(F.slice("_w", i + 1, K)), 32).cast("int"))
-    short = F.size("_w") < K
-    df = df.withColumn("_h", F.when(short, F.array(F.shiftright(F.xxhash64("_w"), 32).cast("int"))).otherwise(hashes))
-    return df.withColumn(name, F.struct(F.col("_h").alias("h"), F.when(short, F.array(F.lit(0))).otherwise(F.col("_i")).alias("i"))).drop("_w", "_s", "_i", "_h")
+    hash_of = lambda w: F.shiftright(F.xxhash64(w), 32).cast("int")
+    hashes = F.transform("_i", lambda i: hash_of(F.slice("_w", i + 1, K)))
+    n = F.size("_w")
+    small = F.transform(F.slice("_w", 1, F.greatest(n - S, F.lit(0))), lambda w, i: hash_of(F.slice("_w", i + 1, S + 1)))
+    none = F.array().cast("array<int>")
+    df = df.withColumn("_f", F.when(n >= 2 * SURE, none).when(n <= S, F.array(hash_of("_w"))).otherwise(small))
+    df = df.withColumn("_h", F.when(n < SURE, F.col("_f")).otherwise(hashes)).withColumn("_i", F.when(n < SURE, _places("_f")).otherwise(F.col("_i")))
+    return df.withColumn(name, F.struct(F.col("_h").alias("h"), F.col("_i").alias("i"), F.col("_f").alias("s"))).drop("_w", "_s", "_i", "_h", "_f")
+
+
+def _places(hashes: str) -> Column:
+    return F.transform(hashes, lambda h, i: i)
 
 
 def fingerprint(anchors: str) -> Column:
@@ -58,6 +71,10 @@ def fingerprint(anchors: str) -> Column:
 
 def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Add column ``name``: share of anchors that match at one displacement, 0 to 1."""
+    short = lambda x: F.col(f"{x}.h") == F.col(f"{x}.s")
+    used = lambda x: F.when(short(a) == short(b), F.struct(f"{x}.h", f"{x}.i")).otherwise(F.struct(F.col(f"{x}.s").alias("h"), _places(f"{x}.s").alias("i")))
+    df = df.withColumn("_ua", used(a)).withColumn("_ub", used(b))
+    a, b = "_ua", "_ub"
     df = df.withColumn("_both", F.array_intersect(f"{a}.h", f"{b}.h")).withColumn("_all", F.size(F.array_union(f"{a}.h", f"{b}.h")))
     # Shared anchors in hash order, each at its first position, in both lists: the lists go in step.
     listed = lambda x: F.zip_with(f"{x}.h", f"{x}.i", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
@@ -73,7 +90,7 @@ def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
         return F.struct(d.alias("d"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
     best = F.coalesce(F.aggregate("_d", start, count, lambda s: s["best"]), F.lit(0))
-    return df.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).otherwise(best / F.col("_all"))).drop("_both", "_all", "_x", "_y", "_d")
+    return df.withColumn(name, F.when(F.col(a) == F.col(b), 1.0).otherwise(best / F.col("_all"))).drop("_ua", "_ub", "_both", "_all", "_x", "_y", "_d")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -287,6 +287,31 @@ def test_syncmers(small, rows):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_syncmers_of_short_texts(spark):
+    """Texts around 2K-S-1 words: unlike ones have unlike fingerprints and likeness 0, near ones are near, also across that length."""
+    rows = []
+    for n in range(1, 24):
+        for k in range(20):
+            words = [f"w{n}-{k}-{i}" for i in range(n)]
+            rows.append((n, k, " ".join(words), " ".join([*words, "more"]), " ".join([*words[: n // 2], "other", *words[n // 2 + 1 :]]), " ".join(f"{w}x" for w in words)))
+    df = spark.createDataFrame(rows, "n int, k int, own string, longer string, changed string, unlike string")
+    for c in ("own", "longer", "changed", "unlike"):
+        df = syncmers._anchors(df, c, f"_{c}")
+    df = df.withColumn("fingerprint", syncmers.fingerprint("_own")).withColumn("fingerprint_unlike", syncmers.fingerprint("_unlike"))
+    for a, b in (("own", "own"), ("own", "longer"), ("longer", "own"), ("own", "changed"), ("own", "unlike")):
+        df = syncmers.likeness(df, f"_{a}", f"_{b}", f"{a}_{b}")
+    got = df.collect()
+    prints = {r["fingerprint"] for r in got} | {r["fingerprint_unlike"] for r in got}
+    assert "" not in prints and len(prints) == 2 * len(got)
+    assert all(r["own_own"] == 1 and r["own_unlike"] == 0 and r["own_longer"] == r["longer_own"] for r in got)
+    for r in got:
+        n = r["n"]
+        if 3 <= n < syncmers.SURE:
+            assert abs(r["own_longer"] - (n - 2) / (n - 1)) < 1e-9
+        if 12 <= n < syncmers.SURE:
+            assert abs(r["own_changed"] - (n - 5) / (n + 1)) < 1e-9
+
+
 @pytest.mark.parametrize(
     "run",
     [bpe.round_trip_digests, orc_tokens.written_digests, packing.pack, quality_rules.judged, secrets.scan, ngram_join.classes, suffix_dedup.digests, syncmers.compared],
