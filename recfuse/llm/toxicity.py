@@ -31,9 +31,8 @@ from recfuse.llm.linear import SPACE, Rows, descend, sigmoid
 POSITIVES = 3000
 UNLABELLED = 7000
 THRESHOLD = 0.3
-#: Features get a weight if so many toxic texts have them (and such a share), and so many times the share of unlabelled texts.
+#: Features get a weight if so many toxic texts have them, and so many times the estimated share of clean texts.
 LEAST_TOXIC = 5
-LEAST_SHARE = 0.01
 LEAST_LIFT = 4.0
 _WORD = re.compile(r"\w+")
 
@@ -59,7 +58,9 @@ def fit(positive: list, unlabelled: list, prior: float, rounds: int = 300, beta:
     for rows, found in ((positive, toxic), (unlabelled, other)):
         for row in rows:
             found[np.unique(row)] += 1
-    rows = Rows(positive + unlabelled).only((toxic >= max(LEAST_TOXIC, LEAST_SHARE * p)) & (toxic / p >= LEAST_LIFT * (other + 1) / (u + 1)))
+    # The unlabelled texts hold the toxic share too: what it explains is no sign that clean texts have a feature.
+    clean = np.maximum(other / u - prior * toxic / p, 0) / (1 - prior)
+    rows = Rows(positive + unlabelled).only((toxic >= LEAST_TOXIC) & (toxic / p >= LEAST_LIFT * clean))
 
     def slopes(score: np.ndarray) -> np.ndarray:
         yes = sigmoid(score)

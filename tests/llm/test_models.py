@@ -41,6 +41,19 @@ def test_non_negative_risk_learns_from_positive_and_unlabelled():
     assert (score(toxic[245:]) >= 0.3).mean() > 0.95 and (score(clean[400:]) < 0.3).mean() > 0.95
 
 
+def test_toxic_words_count_at_any_prior():
+    """Toxic words get weights where three tenths are toxic, where they are rare, and where clean texts have them now and then."""
+    rng = np.random.default_rng(0)
+    noise = lambda: list(rng.choice(500, 20, replace=False))
+    clean = [noise() + [1005] * int(rng.random() < 0.02) for _ in range(1400)]
+    toxic = [noise() + ([1006] if k % 125 == 0 else [1000 + int(rng.integers(5))]) + [1005] * int(rng.random() < 0.25) for k in range(1600)]
+    sample = clean[:700] + toxic[1000:1300]
+    weights, bias = toxicity.fit(toxic[:1000], sample, 0.3)
+    score = lambda rows: sigmoid(Rows(rows).scores(weights, bias))
+    assert all(weights[f] > 0 for f in range(1000, 1007)) and (weights[:500] != 0).mean() < 0.1
+    assert (score(toxic[1300:]) >= toxicity.THRESHOLD).mean() > 0.95 and (score(clean[700:]) < toxicity.THRESHOLD).mean() > 0.9
+
+
 def test_logistic():
     rows = Rows([[1, 2], [1], [3], [3, 4]])
     weights, bias = logistic(rows, np.array([1, 1, 0, 0]))
