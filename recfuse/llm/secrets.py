@@ -1,8 +1,10 @@
 """Secret scan: patterns with a fixed shape, and random strings found by their token efficiency.
 
 A random string splits into many short tokens of a vocabulary that was made for prose: its
-characters per token are few. Candidates are runs of key-like characters with letters and digits;
-digests of usual lengths, UUIDs, numbers and strings with dictionary-like efficiency are left out.
+characters per token are few. Candidates are runs of key-like characters with letters, and where a run
+is not random as a whole, its parts between '/' and '=', and then between '_', '-' and '+' too. Strings
+without digits have to stay below a stricter limit. Digests of usual lengths, UUIDs, numbers and strings
+with dictionary-like efficiency are left out.
 
 Null and empty texts have no spans. Repeated rows are scanned each on their own. Columns other than
 doc_id and text are ignored by ``scan`` and kept by ``redact``.
@@ -29,11 +31,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PARTS = (re.compile(r"[^/=]+"), re.compile(r"[^_+-]+"))
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 #: Fewer characters per token than this mark a random string.
 CHARS_PER_TOKEN = 2.0
+#: The share of that limit that holds for strings without digits, which long invented words resemble.
+LETTERS_ONLY = 0.9
+LEAST_RANDOM = 16
 
 
 class Scanner:
@@ -47,11 +53,27 @@ class Scanner:
         self.limit = chars_per_token
 
     def random(self, s: str) -> bool:
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or _UUID.fullmatch(s):
+        if not re.search("[A-Za-z]", s) or _UUID.fullmatch(s):
             return False
         if len(s) in DIGEST_LENGTHS and _DIGEST.fullmatch(s):
             return False
-        return len(s) < self.limit * len(self.encoding.encode_ordinary(s))
+        limit = self.limit if re.search("[0-9]", s) else self.limit * LETTERS_ONLY
+        return len(s) < limit * len(self.encoding.encode_ordinary(s))
+
+    def strings(self, s: str, at: int, base: list[tuple[int, int, int]], parts: tuple = _PARTS) -> Iterator[tuple[int, int, int]]:
+        """The run s if it is random and no base span touches it, or else such parts of it."""
+        end = at + len(s)
+        if len(s) < LEAST_RANDOM:
+            return
+        if self.random(s) and not any(a < end and at < b for a, _, b in base):
+            yield at, 3, end
+            return
+        for k, part in enumerate(parts):
+            found = list(part.finditer(s))
+            if any(len(m[0]) < len(s) for m in found):
+                for m in found:
+                    yield from self.strings(m[0], at + m.start(), base, parts[k + 1 :])
+                return
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         low, found = text.lower(), []
@@ -64,11 +86,7 @@ class Scanner:
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Random strings that no base span touches."""
-        out = []
-        for m in _CANDIDATE.finditer(text):
-            if self.random(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
-                out.append((m.start(), 3, m.end()))
-        return out
+        return [s for m in _CANDIDATE.finditer(text) for s in self.strings(m[0], m.start(), base)]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

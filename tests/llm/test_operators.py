@@ -128,6 +128,31 @@ def test_secrets(spark):
     assert clean[1] == "see [SECRET]." and clean[6] is None and clean[8] == texts[8]
 
 
+def test_secrets_of_letters_and_behind_paths():
+    scanner, rng = secrets.Scanner(bpe.default_path("byte_bpe_50k.tiktoken"), secrets.CHARS_PER_TOKEN), np.random.default_rng(5)
+    lower, letters = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda of, n: "".join(rng.choice(list(of), n))
+
+    def share(before, of, n, after=""):
+        """How many of 300 keys are found whole: a span may hold more than the key."""
+        keys = [key(of, n) for _ in range(300)]
+        found = [scanner.added(f"see {before}{k}{after} now", []) for k in keys]
+        at = 4 + len(before)
+        return np.mean([any(a <= at and at + n <= b for a, _, b in f) for f in found])
+
+    assert share("", lower, 24) > 0.7 and share("", letters, 20) > 0.95
+    alone = share("", letters + "0123456789", 24)
+    for before, after in (("com/services/integration/", ""), ("environment=", "/settings"), ("customer-integration_production_", ""), ("com/services/integration/configuration_of_", "")):
+        assert share(before, letters + "0123456789", 24, after) > alone - 0.05
+    prose = [
+        "internationalization", "com/services/integration/configuration", "Krankenversicherungsbeitrag", "get_elements_by_class_name", "NullPointerException", "2024/11/05/1234567890123456",
+        "aaaaaaaaaaaaaaaaaaaaaaaa", "------------------------",
+    ]
+    assert [scanner.added(t, []) for t in prose] == [[]] * len(prose)
+    text = "password=abcdefgh1234 and x"
+    assert scanner.added(text, scanner.base(text)) == []
+
+
 def brute_classes(rows):
     sets = []
     for r in rows:
