@@ -73,7 +73,8 @@ def anchor_positions(raw: bytes) -> np.ndarray:
     # A position is an anchor if it is least in a window that holds it: the greatest of those minima.
     pad = np.zeros(WINDOW - 1, np.uint64)
     greatest = _least(np.concatenate([pad, least, pad]), WINDOW, np.maximum)
-    return np.flatnonzero((h[: len(greatest)] == greatest) & (greatest > 0))
+    # Each of the positions is in a window, whose minimum the zeros of the padding never exceed.
+    return np.flatnonzero(h[: len(greatest)] == greatest)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:

@@ -283,6 +283,18 @@ def test_suffix_dedup(small, rows):
     assert left.columns == small.columns and left.count() == len(rows)
 
 
+def test_suffix_dedup_of_nuls(spark):
+    """Runs of NULs hash to the least value there is; they are bytes like others."""
+    rnd = np.random.default_rng(4)
+    line = lambda n: "".join(chr(c) for c in rnd.integers(97, 123, n))
+    shared = line(120) + "\0" * 16 + line(264)
+    texts = ["\0" * 450, "\0" * 450, line(30) + shared + line(50), line(70) + shared + line(20), line(500), "\0" * 399]
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    got = suffix_dedup.digests(spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string"))
+    want = brute_repeats(rows)
+    assert collected(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == want and sum(w[1][1] for w in want) == 2 * 450 + 2 * 400
+
+
 def test_merge_of_runs():
     rng = np.random.default_rng(3)
     runs = []
