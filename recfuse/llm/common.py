@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from recfuse.session import ensure_checkpoint_dir
 
-#: Rows an Arrow batch may hold. Texts can be long, so a batch is kept small.
+#: Rows and bytes an Arrow batch may hold. Texts can be long, so a batch is kept small.
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,10 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """The frame; Arrow batches of its session are kept small from here on, in rows and in bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text of a documents table, with the named columns; a null text counts as empty."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return batched(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def pairs_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:

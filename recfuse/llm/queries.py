@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recfuse.llm import bpe, ngram_join, orc_tokens, packing, quality_model, quality_rules, secrets, suffix_dedup, syncmers, toxicity
+from recfuse.llm import bpe, clusters, manifest, ngram_join, orc_tokens, packing, quality_model, quality_rules, secrets, suffix_dedup, syncmers, toxicity, transducer
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,91 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
 
+def op11_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _op11() -> str:
+    """Rounds of assignment (a) and new centroids (c); whole numbers below 2**53 are exact in doubles."""
+    size = clusters.SIZE
+    distance = "list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x)"
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({clusters.SCALE} * e::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {size})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS k, x FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || coalesce(vec_id::VARCHAR, '')), x) <= {clusters.CLUSTERS})""",
+    ]
+    for n in range(clusters.ROUNDS + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, min({{'d': {distance}, 'k': c.k}}) AS best FROM v, c{n} c GROUP BY r)""")
+        if n < clusters.ROUNDS:
+            steps.append(f"""m{n} AS (
+  SELECT k, list(mean ORDER BY i) AS x FROM (
+    SELECT best.k AS k, i, floor(sum(v.x[i]) / count(*)) AS mean FROM v JOIN a{n} USING (r), (SELECT unnest(range(1, {size + 1})) AS i) GROUP BY best.k, i)
+  GROUP BY k)""")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.k, coalesce(m{n}.x, c{n}.x) AS x FROM c{n} LEFT JOIN m{n} USING (k))")
+    last = clusters.ROUNDS
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.k::INTEGER AS cluster, best.d::BIGINT AS distance,
+  (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM v JOIN a{last} USING (r) JOIN c{last} c ON c.k = best.k
+"""
+
+
+def op12_transducer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trip_digests(documents(spark, sf_dir))
+
+
+def op13_rank_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+#: Levels that the SQL statement of the manifest unrolls, for the rows of a source and for the sources.
+_OP13_LEVELS, _OP13_SOURCE_LEVELS = 13, 8
+
+
+def _op13() -> str:
+    """n: nodes of a level; w: each row's place at that level, the digest folded so far, and its siblings up to it."""
+    field = lambda value: f"coalesce(strlen({value}) || ':' || {value}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text])) + ")"
+    odd = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)) & 1"""
+    steps = [
+        # The register's last inversion turns the lowest bit.
+        f"""l AS (SELECT *, {leaf("text")} AS leaf, CASE WHEN {odd} = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other FROM documents)""",
+        """w0 AS MATERIALIZED (
+  SELECT doc_id, leaf, other AS folded, '' AS way, 'x' || source AS grp, source,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l)""",
+        "n0 AS MATERIALIZED (SELECT coalesce(grp, '') AS grp, i, leaf AS node FROM w0)",
+    ]
+
+    def level(n: int) -> None:
+        steps.append(f"s{n} AS MATERIALIZED (SELECT grp, i // 3 AS i, list(node ORDER BY i) AS nodes, sum(count(*)) OVER (PARTITION BY grp) AS total FROM n{n} GROUP BY grp, i // 3)")
+        steps.append(f"n{n + 1} AS MATERIALIZED (SELECT grp, i, CASE WHEN total = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM s{n})")
+        left, right = "array_to_string(nodes[1:w.i % 3], '')", "array_to_string(nodes[w.i % 3 + 2:3], '')"
+        steps.append(f"""w{n + 1} AS MATERIALIZED (
+  SELECT w.* REPLACE (w.i // 3 AS i, way || {left} || {right} AS way, CASE WHEN total = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded)
+  FROM w{n} w JOIN s{n} s ON s.grp = coalesce(w.grp, '') AND s.i = w.i // 3)""")
+
+    for n in range(_OP13_LEVELS):
+        level(n)
+    n = _OP13_LEVELS + 1
+    steps.append(f"t AS MATERIALIZED (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place FROM n{n - 1})")
+    steps.append(f"n{n} AS MATERIALIZED (SELECT '' AS grp, place AS i, subroot AS node FROM t)")
+    steps.append(f"w{n} AS MATERIALIZED (SELECT doc_id, leaf, folded, way, '' AS grp, subroot, place AS i FROM w{n - 1} w JOIN t ON t.grp = coalesce(w.grp, ''))")
+    for k in range(_OP13_SOURCE_LEVELS):
+        level(n + k)
+    n += _OP13_SOURCE_LEVELS
+    text = f"""WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, node AS root, sha256(way) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM w{n}, n{n}
+"""
+    # total counts the groups of three of a level: one group of a single node is the end, of more nodes a level.
+    return text.replace("total = 1", "(total = 1 AND len(nodes) = 1)")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,6 +201,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_syncmers,
         op9_bpe_round_trip,
         op10_suffix_dedup,
+        op11_pivot_clusters,
+        op12_transducer_round_trip,
+        op13_rank_manifest,
     )
 }
-SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op6_ngram_join": _OP6}
+SQL: dict[str, str] = {"op5_quality_rules": _OP5, "op6_ngram_join": _OP6, "op11_pivot_clusters": _op11(), "op13_rank_manifest": _op13()}
