@@ -47,10 +47,10 @@ def value_histogram(spark, sf):
 @query(
     "last_values",
     "T6",
-    "SELECT user_id, event_type, arg_max(value, ts) AS value, max(ts) AS at FROM events GROUP BY 1, 2",
+    "SELECT user_id, event_type, arg_max(value, {'t': ts, 'i': event_id}) AS value, max(ts) AS at FROM events GROUP BY 1, 2",
 )
 def last_values(spark, sf):
-    return ME.gauges(_events(spark, sf), "ts", ["user_id", "event_type"], "value")
+    return ME.gauges(_events(spark, sf), "ts", ["user_id", "event_type"], "value", ["event_id"])
 
 
 @query(

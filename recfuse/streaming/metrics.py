@@ -46,9 +46,12 @@ def histogram(events: DataFrame, labels: Sequence[str], value: str, buckets: str
     return total.select(*labels, "total", "value_sum", F.inline(rows))
 
 
-def gauges(events: DataFrame, ts: str, labels: Sequence[str], value: str) -> DataFrame:
-    """Last value per label set."""
-    return events.groupBy(*labels).agg(F.max_by(value, ts).alias("value"), F.max(ts).alias("at"))
+def gauges(events: DataFrame, ts: str, labels: Sequence[str], value: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Last value per label set. Of rows at the same instant the one with the greatest ``tie``
+    columns counts, without them the greatest value. Rows without a time count only if all are."""
+    order = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(tie)], F.col(value).alias("v"))
+    last = events.groupBy(*labels).agg(F.max(order).alias("_last"), F.max(ts).alias("at"))
+    return last.select(*labels, F.col("_last.v").alias("value"), "at")
 
 
 def alerts(
@@ -106,20 +109,33 @@ def trailing(
 ) -> DataFrame:
     """Count (or sum of ``value``) over the last ``seconds`` up to each row, per key.
 
-    Rows are also copied into the next time bucket as context, so a window partition is one key and
-    one bucket, never a key's whole history. The start of the span is open unless ``include_start``.
+    Time is cut into buckets of that length. What a row counts is the part of its own bucket up to
+    it, a running total forward in time, and the part of the bucket before that hasn't expired,
+    a running total backward over expiry marks that the earlier rows leave in the next bucket. Both
+    frames only ever grow, so a bucket takes time in proportion to its rows, and nothing is
+    subtracted. Rows of one instant count each other; rows without a time get null. Nulls in the
+    keys are values. The start of the span is open unless ``include_start``.
     """
     width = seconds * SECOND
-    e = events.withColumn("_at", micros(ts))
+    e = events.withColumn("_at", micros(ts)).withColumn("_v", F.lit(1).cast("long") if value is None else value)
     bucket = F.floor(F.col("_at") / F.lit(width))
-    copies = F.array(
-        F.struct(bucket.alias("b"), F.lit(False).alias("context")), F.struct((bucket + 1).alias("b"), F.lit(True).alias("context"))
+    marks = F.array(
+        F.struct(bucket.alias("_b"), F.col("_at").alias("_pos"), F.lit(False).alias("_mark")),
+        F.struct((bucket + 1).alias("_b"), (F.col("_at") + width).alias("_pos"), F.lit(True).alias("_mark")),
     )
-    spread = e.select("*", F.inline(copies))
-    start = -width if include_start else -width + 1
-    w = Window.partitionBy(*keys, "b").orderBy("_at").rangeBetween(start, 0)
-    measure = F.count("*") if value is None else F.sum(value)
-    return spread.withColumn(out, measure.over(w)).filter(~F.col("context")).drop("_at", "b", "context")
+    dated = e.filter("_at IS NOT NULL").select("*", F.inline(marks))
+    part = Window.partitionBy(*keys, "_b")
+    forward = part.orderBy("_pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Of a mark and a row at the same instant, the mark has expired unless the start belongs to the span.
+    tie = F.col("_mark").desc() if include_start else F.col("_mark")
+    backward = part.orderBy(F.col("_pos").desc(), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.sum(F.when(~F.col("_mark"), F.col("_v"))).over(forward)
+    earlier = F.sum(F.when(F.col("_mark"), F.col("_v"))).over(backward)
+    counted = dated.withColumns({"_here": here, "_earlier": earlier}).filter(~F.col("_mark"))
+    total = F.coalesce(F.col("_here") + F.col("_earlier"), "_here", "_earlier")
+    undated = e.filter("_at IS NULL").withColumn(out, F.lit(None))
+    columns = [c for c in events.columns if c != out]
+    return counted.withColumn(out, total).select(*columns, out).unionByName(undated.select(*columns, out))
 
 
 def rollup(

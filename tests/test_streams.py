@@ -120,6 +120,87 @@ def test_admit_stream(spark, tmp_path, case):
     assert [(r.allowed, r.remaining) for r in got] == want
 
 
+def _walk_requests(rows, limit, window):
+    """Decisions by walking every key's requests in order. rows: (identifier, endpoint, seq, at in seconds)."""
+    passed, out = {}, {}
+    for who, where, seq, at in sorted(rows, key=lambda r: (r[3], r[2])):
+        live = passed.setdefault((who, where), [])
+        live[:] = [x for x in live if x > at - window]
+        out[seq] = (len(live) < limit, max(limit - len(live) - 1, 0))
+        if len(live) < limit:
+            live.append(at)
+    return out
+
+
+def test_admit_equals_a_walk(spark):
+    """Quiet and loud stretches, ties, silences, null keys in either place: cut into pieces or not."""
+    import random
+
+    rng = random.Random(11)
+    rows, seq = [], 0
+    for who, where in (("a", "/x"), ("a", None), (None, "a"), (None, None)):
+        at = 0.0
+        for k in range(900):
+            at += rng.choice([0, 0, 1, 2, 3]) if k // 60 % 3 == 0 else rng.choice([5, 12, 20, 45]) if k % 97 else 400
+            rows.append((who, where, seq, at))
+            seq += 1
+    for stride in (LM.STRIDE, 4, 10_000):
+        out = LM.admit(_requests(spark, rows, 5, 60), "ts", "seq", longest_window_s=60, stride=stride).collect()
+        assert {r.seq: (r.allowed, r.remaining) for r in out} == _walk_requests(rows, 5, 60) and len(out) == len(rows)
+
+
+def test_a_never_silent_key_is_cut(spark):
+    """Ten minutes between requests, a hundred an hour allowed: hundreds of pieces, few requests decided twice."""
+    rows = spark.range(20_000).selectExpr("'u' AS identifier", "id * 600000000L AS _at", "100 AS max_requests")
+    pieces = LM.admission_pieces(rows, ["identifier"], 3600 * LM.SECOND)
+    found = pieces.agg(F.countDistinct("piece"), F.sum(F.size("warms"))).first()
+    assert found[0] > 100 and found[1] < 0.1 * 20_000
+    loud = LM.admission_pieces(rows.withColumn("max_requests", F.lit(3)), ["identifier"], 3600 * LM.SECOND)
+    assert loud.select("piece").distinct().count() == 1
+
+
+def test_requests_without_a_time_are_rejected(spark):
+    df = _requests(spark, [("u", "/t", 0, None), ("u", "/t", 1, 1.0)], 1, 60)
+    assert {r.seq: (r.allowed, r.remaining, r.retry_after) for r in LM.admit(df, "ts", "seq").collect()} == {0: (False, 0, None), 1: (True, 0, None)}
+
+
+@pytest.mark.parametrize("include_start", [False, True])
+def test_trailing_equals_a_walk(spark, include_start):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(-300, 300)]), rng.choice([None, 1.5, 2.25, -4.0])) for i in range(900)]
+    df = spark.createDataFrame(rows, "seq long, k string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    inside = lambda x, at: (at - 10 <= x if include_start else at - 10 < x) and x <= at
+    span = lambda r: [x for x in rows if x[1] == r[1] and x[2] is not None and inside(x[2], r[2])]
+    counts = {r.seq: r.n for r in ME.trailing(df, ["k"], "ts", 10, None, include_start, "n").collect()}
+    assert counts == {r[0]: None if r[2] is None else len(span(r)) for r in rows}
+    sums = {r.seq: r.n for r in ME.trailing(df, ["k"], "ts", 10, F.col("v"), include_start, "n").collect()}
+    values = lambda r: [x[3] for x in span(r) if x[3] is not None]
+    assert sums == {r[0]: None if r[2] is None or not values(r) else sum(values(r)) for r in rows}
+
+
+def test_trailing_takes_linear_time(spark):
+    """Twice the rows of one key, all inside the span of each other, take about twice the time."""
+    import time
+
+    def took(n):
+        df = spark.range(n).select(F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 1000).alias("ts"))
+        start = time.time()
+        total = ME.trailing(df, ["k"], "ts", 3600).agg(F.sum("trailing")).first()[0]
+        return time.time() - start, total
+
+    took(1000)
+    small, large = took(20_000), took(40_000)
+    assert large[1] == 40_000 * 40_001 // 2 and large[0] < 3 * small[0] + 2
+
+
+def test_last_values_with_ties(spark):
+    df = spark.createDataFrame([("a", 1, 1, 5.0), ("a", 1, 2, 3.0), ("b", None, 1, 1.0)], "k string, t int, seq int, v double")
+    got = {r.k: r.value for r in ME.gauges(df, "t", ["k"], "v", ["seq"]).collect()}
+    assert got == {"a": 3.0, "b": 1.0} and {r.k: r.value for r in ME.gauges(df, "t", ["k"], "v").collect()}["a"] == 5.0
+
+
 def test_window_longer_than_declared_fails(spark):
     df = _requests(spark, [("u", "/t", 0, 0.0)], 1, 7200)
     with pytest.raises(Exception, match="longest_window_s"):
