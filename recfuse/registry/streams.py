@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recfuse.functions import text as X
@@ -10,9 +12,13 @@ from recfuse.plans.curate import CurateConfig, Curated, curate, run_history, sta
 from recfuse.registry.base import query, table
 from recfuse.registry.cleaning import AS_OF as CLEAN_AS_OF
 from recfuse.registry.cleaning import _CHECKED_SQL, raw_claims
+from recfuse.registry.views import split_columns
+from recfuse.schema import LAUNCH_FIELDS, SOURCE_FIELDS
+from recfuse.session import ensure_checkpoint_dir
 from recfuse.sources import readers as RD
 from recfuse.sources import union as UN
 from recfuse.streaming import limiter as LM
+from recfuse.streaming.ingest import CurationSink
 from recfuse.streaming import metrics as ME
 
 
@@ -286,6 +292,68 @@ def run_history_rows(spark, sf):
     return run_history(checked, "batch")
 
 
+# Line items as claims about their order, some invalid, in three batches by line number.
+_ORDER_CLAIMS = """
+    concat('Order-', l_orderkey) AS slug,
+    concat(' Order ', l_orderkey) AS mission_name,
+    CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE date_format(date_add(l_shipdate, 4000), 'yyyy-MM-dd') END AS launch_date,
+    CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS vehicle_type,
+    CASE WHEN l_suppkey % 6 = 0 THEN 'n/a' ELSE CAST(l_extendedprice AS STRING) END AS payload_mass,
+    CASE WHEN l_linenumber = 3 THEN ' ' ELSE l_linestatus END AS orbit,
+    CASE l_suppkey % 3 WHEN 0 THEN 'Successful' WHEN 1 THEN 'success' ELSE 'FAILED' END AS status,
+    concat('qty ', repeat('x', CAST(l_quantity AS INT))) AS details,
+    CASE WHEN l_suppkey % 11 = 0 THEN 'ftp://x' END AS mission_patch_url,
+    CAST(NULL AS STRING) AS webcast_url,
+    CASE l_suppkey % 3 WHEN 0 THEN 'SpaceX Official' WHEN 1 THEN 'NASA' ELSE 'Wikipedia' END AS source_name,
+    'https://s.example/x' AS source_url,
+    '2001-01-01 00:00:00' AS scraped_at,
+    concat('0.', 1 + l_suppkey % 9) AS data_quality_score
+"""
+_INGEST_AS_OF = "2020-01-01"
+
+
+@query(
+    "incremental_curation",
+    "T8",
+    """WITH v AS (SELECT 'order-' || l_orderkey AS slug, 'Order ' || l_orderkey AS mission_name, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS seq,
+        CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE date_trunc('day', l_shipdate) + INTERVAL 4000 DAY END AS dt,
+        CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS vehicle, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_extendedprice END AS mass,
+        CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linestatus END AS orbit, CASE WHEN l_suppkey % 3 < 2 THEN 'success' ELSE 'failure' END AS status,
+        'qty ' || repeat('x', CAST(l_quantity AS INTEGER)) AS details, CASE l_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS prio, l_suppkey % 9 AS q
+        FROM lineitem WHERE l_suppkey % 11 <> 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY prio, q DESC, seq) AS rk FROM v),
+      l AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY length(details) DESC, rk) AS lrk FROM r),
+      f AS (SELECT slug, min(mission_name) AS mission_name, arg_min(dt, rk) FILTER (dt IS NOT NULL) AS launch_date,
+        arg_min(vehicle, rk) FILTER (vehicle IS NOT NULL) AS vehicle_type, arg_min(mass, rk) FILTER (mass IS NOT NULL) AS payload_mass,
+        arg_min(orbit, rk) FILTER (orbit IS NOT NULL) AS orbit, arg_min(status, rk) AS status, arg_min(details, lrk) AS details, count(*) AS sources
+        FROM l GROUP BY slug),
+      u AS (SELECT slug, 'launch_date' AS f, CAST(dt AS VARCHAR) AS t, epoch(dt)::DOUBLE AS n FROM v WHERE dt IS NOT NULL
+        UNION SELECT slug, 'vehicle_type', vehicle, NULL FROM v WHERE vehicle IS NOT NULL
+        UNION SELECT slug, 'payload_mass', CAST(mass AS VARCHAR), mass FROM v WHERE mass IS NOT NULL
+        UNION SELECT slug, 'orbit', orbit, NULL FROM v WHERE orbit IS NOT NULL
+        UNION SELECT slug, 'status', status, NULL FROM v UNION SELECT slug, 'details', details, NULL FROM v),
+      p AS (SELECT a.slug, a.f FROM u a JOIN u b ON a.slug = b.slug AND a.f = b.f AND a.t < b.t
+        WHERE CASE a.f WHEN 'launch_date' THEN abs(a.n - b.n) > 7200
+          WHEN 'payload_mass' THEN abs(a.n - b.n) / ((abs(a.n) + abs(b.n)) / 2.0::DOUBLE) * 100.0::DOUBLE > 10.0::DOUBLE ELSE true END),
+      c AS (SELECT slug, count(*) AS conflicts FROM p GROUP BY slug)
+    SELECT f.* REPLACE (CAST(launch_date AS TIMESTAMP) AS launch_date), coalesce(conflicts, 0) AS conflicts FROM f LEFT JOIN c ON c.slug = f.slug""",
+)
+def incremental_curation(spark, sf):
+    """Three batches through the sink, then the curated tables as they were published."""
+    flat = table(spark, sf, "lineitem").selectExpr("(l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS ingest_seq", "l_linenumber", *[c.strip() for c in split_columns(_ORDER_CLAIMS)])
+    raw = flat.select(F.struct(*LAUNCH_FIELDS).alias("raw"), F.struct(*SOURCE_FIELDS).alias("source"), "ingest_seq", "l_linenumber")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curated-{uuid.uuid4().hex}"
+    sink = CurationSink(spark, root, F.lit(_INGEST_AS_OF).cast("timestamp"), key_parts=8, most_commits=2)
+    for batch in range(3):
+        sink(raw.filter(F.col("l_linenumber") % 3 == batch).drop("l_linenumber"), batch)
+    count = lambda name, out: sink.tables.read(name).groupBy(F.col("launch_id").alias("id")).agg(F.count("*").alias(out))
+    joined = sink.tables.read("launches").join(count("sources", "sources"), "id", "left").join(count("conflicts", "conflicts"), "id", "left")
+    return joined.select(
+        "slug", "mission_name", _ntz("launch_date"), "vehicle_type", F.col("payload_mass").cast("double").alias("payload_mass"), "orbit", "status", "details",
+        F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"),
+    )
+
+
 # Scalar expression library over events.
 @query(
     "event_ages",

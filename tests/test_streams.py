@@ -246,3 +246,44 @@ def test_incremental_ingest(spark, tmp_path):
     version = sink.tables.version()
     sink(read_claims(spark, src), runs[-1].batch)
     assert sink.tables.version() == version
+
+
+def test_batches_touch_their_partitions_only(spark, tmp_path):
+    """A batch replaces the partitions of its keys; the others stay in the commit that made them."""
+    from recfuse.schema import RAW
+
+    root = str(tmp_path / "curated")
+    sink = CurationSink(spark, root, F.lit(dt.datetime(2024, 3, 1)), key_parts=16, most_commits=3)
+    rows = [_claim(i, "nasa", 0.9, slug=f"crew-{i}", mission_name=f"Crew-{i}") for i in range(40)]
+    sink(spark.createDataFrame(rows, RAW), 0)
+    before = sink.tables.commits("launches")
+    assert len(before) > 8 and {tuple(v) for v in before.values()} == {(1,)}
+    sink(spark.createDataFrame([_claim(100, "spacex", 0.95, slug="crew-7", mission_name="Crew Seven")], RAW), 1)
+    after = sink.tables.commits("launches")
+    changed = [p for p in after if after[p] != before[p]]
+    assert len(changed) == 1 and after[changed[0]] == [2] and sink.tables.commits("claims")[changed[0]] == [1, 2]
+    assert {r.slug: r.mission_name for r in sink.tables.read("launches").collect()} == {f"crew-{i}": "Crew Seven" if i == 7 else f"Crew-{i}" for i in range(40)}
+    # Resolved conflicts don't come back, and many commits of a partition become one.
+    tables = sink.tables
+    resolved = tables.read("conflicts").withColumn("resolved", F.lit(True))
+    tables.commit(replace={"conflicts": resolved})
+    known = tables.read("conflicts").count()
+    for batch in (2, 3):
+        sink(spark.createDataFrame([_claim(100 + batch, "spacex", 0.95, slug="crew-7", mission_name="Crew Seven")], RAW), batch)
+    assert known and tables.read("conflicts").count() == known and tables.read("conflicts").filter("resolved").count() == known
+    assert tables.read("claims").count() == 43 and len(tables.commits("claims")[changed[0]]) == 1
+    assert [r.batch for r in tables.read("runs").orderBy("batch").collect()] == [0, 1, 2, 3] and len(tables.commits("runs")[""]) <= 3
+
+
+def test_a_commit_is_published_once(spark, tmp_path):
+    """The second of two writers that began from the same commit fails and leaves the tables as they are."""
+    from recfuse.sources.snapshots import SnapshotTables
+
+    df = spark.createDataFrame([(1,)], "a int")
+    first, second = (SnapshotTables(spark, str(tmp_path / "db"), {"t": df.schema}) for _ in range(2))
+    second.stage("t", df)
+    second.version = lambda: 0
+    first.commit(append={"t": df})
+    with pytest.raises(Exception, match="already exists|FileAlreadyExists"):
+        second.commit(staged_append=["t"])
+    assert first.version() == 1 and first.read("t").count() == 1 and not [n for n in first._names(f"{tmp_path}/db/commits") if not n.startswith("_") and n != "1.json"]
