@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recfuse.operators.rank import spread_row_number
+
 SORTABLE = ("launch_date", "mission_name", "status")
 MAX_LIMIT = 100
-NEST_PART = 10_000
+#: Children in an array.
+PAGE = 1000
 
 
 def hours_before(as_of: Column, hours: int) -> Column:
@@ -145,50 +148,47 @@ def page_meta(df: DataFrame, p: ListParams) -> DataFrame:
     )
 
 
-def nest(parents: DataFrame, children: DataFrame, fk: str, out: str, part: int = NEST_PART) -> DataFrame:
-    """Parents with their children as an array of structs, empty if there are none.
+def child_pages(children: DataFrame, fk: str, out: str, size: int = PAGE) -> DataFrame:
+    """Children per parent as arrays of ``size`` or fewer, by child id: rows (fk, page, out).
 
-    A parent with more than ``part`` children comes as several rows, numbered by ``{out}_part``,
-    that share the children between them by a hash of the child id; so no row grows without bound.
+    Children are numbered within their parent by ranges of the id, so no task numbers all children
+    of one parent; the page is the number over ``size``. ``children`` has an integer ``id``.
     """
     fields = [c for c in children.columns if c != fk]
-    pieces = (
-        children.groupBy(fk)
-        .agg(F.count("*").alias("_n"))
-        .select(F.col(fk).alias("_fk"), F.ceil(F.col("_n") / F.lit(part)).alias("_parts"))
-    )
-    large = pieces.filter("_parts > 1")
-    salted = children.join(large, F.col(fk) == F.col("_fk"), "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
-    )
-    nested = salted.groupBy(F.col(fk).alias("_fk"), "_part").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias(out)
-    )
-    empty = F.array().cast(nested.schema[out].dataType)
-    return (
-        parents.join(nested, F.col("id") == F.col("_fk"), "left")
-        .withColumn(out, F.coalesce(F.col(out), empty))
-        .withColumn(f"{out}_part", F.coalesce("_part", F.lit(0)))
-        .drop("_fk", "_part")
-    )
+    numbered = spread_row_number(children, [fk], [], ["id"], "_number")
+    page = F.floor((F.col("_number") - 1) / F.lit(size)).cast("int").alias("page")
+    return numbered.groupBy(fk, page).agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in fields if c != "id"]))).alias(out))
+
+
+def nest(parents: DataFrame, children: dict[str, DataFrame], fk: str, size: int = PAGE) -> DataFrame:
+    """Parents with pages of their children: a row for each parent and ``page``, an array per kind.
+
+    Every parent has page 0, and as many as its longest list of children needs; a cursor is
+    (parent, page). Kinds are nested on their own, so they never multiply each other; an array is
+    empty where its kind has no more children. The shape is the same for parents of any size.
+    """
+    pages = None
+    for out, rows in children.items():
+        own = child_pages(rows, fk, out, size)
+        pages = own if pages is None else pages.join(own, [fk, "page"], "full_outer")
+    if pages is None:
+        return parents.withColumn("page", F.lit(0))
+    # Page 0 is there for parents whose first page no kind fills.
+    placed = parents.join(pages.withColumnRenamed(fk, "_fk"), F.col("id") == F.col("_fk"), "left").drop("_fk")
+    arrays = {out: F.coalesce(F.col(out), F.array().cast(pages.schema[out].dataType)) for out in children}
+    return placed.withColumns({"page": F.coalesce("page", F.lit(0)), **arrays})
 
 
-def with_children(launches: DataFrame, sources: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Launches with both child lists, each nested on its own so they never multiply each other."""
-    full = nest(launches, sources, "launch_id", "sources")
-    first = F.col("sources_part") == 0
-    only = nest(launches.select("id"), conflicts, "launch_id", "conflicts").withColumnRenamed("id", "_id")
-    extra = only.filter("conflicts_part > 0")
-    main = full.join(only.filter("conflicts_part = 0"), (F.col("id") == F.col("_id")) & first, "left").drop("_id")
-    more = launches.join(extra, F.col("id") == F.col("_id")).drop("_id")
-    return main.unionByName(more, allowMissingColumns=True)
+def with_children(launches: DataFrame, sources: DataFrame, conflicts: DataFrame, size: int = PAGE) -> DataFrame:
+    """Launches with pages of both child lists."""
+    return nest(launches, {"sources": sources, "conflicts": conflicts}, "launch_id", size)
 
 
 def detail(launches: DataFrame, sources: DataFrame, slug: str) -> DataFrame:
     """One launch by slug with its sources. The filter reaches both scans before the join."""
     one = launches.filter(F.col("slug") == slug)
     theirs = sources.join(one.select(F.col("id").alias("launch_id")), "launch_id", "left_semi")
-    return nest(one, theirs, "launch_id", "sources")
+    return nest(one, {"sources": theirs}, "launch_id")
 
 
 def sources_of(sources: DataFrame, launch_id: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recfuse.functions import values as V
 from recfuse.operators.serve import days_before
+from recfuse.session import ensure_checkpoint_dir
 
 
 def _is(c: str, v: str) -> Column:
@@ -210,54 +211,40 @@ def hit_ratio(hit: Column, miss: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(h, h + m) * 100, 2), F.lit(0.0))
 
 
-def percentile_report(df: DataFrame, groups: Sequence[str], value: str, accuracy: int = 10_000) -> DataFrame:
+def ranked_values(counted: DataFrame, groups: Sequence[str], value: str, count: str) -> DataFrame:
+    """Adds ``upto``: how many rows of the group have this value or a smaller one.
+
+    Values (distinct in their group) are dealt out by ranges, so a group spreads over as many tasks
+    as it needs. Totals of the ranges before, a row per group and range, are added to the running
+    total inside the range.
+    """
+    ensure_checkpoint_dir(counted.sparkSession)
+    order = [*groups, value]
+    ranged = counted.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    inside = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*groups, "_range").agg(F.sum(count).alias("_n"))
+    offsets = offsets.select(*[F.col(g).alias(f"_o_{g}") for g in groups], F.col("_range").alias("_o"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups], F.col("_range") == F.col("_o"))
+    running = ranged.withColumn("_inside", F.sum(count).over(inside))
+    return running.join(offsets, same).withColumn("upto", F.col("_before") + F.col("_inside")).select(*counted.columns, "upto")
+
+
+def percentile_report(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Count, mean, exact median and exact p95 (the value at index int(0.95 n)) per group.
 
-    An approximate percentile with a known rank error brackets each wanted rank first. Only values
-    inside the bracket, a thin slice of the group, are then ranked exactly.
+    Equal values are counted on the map side; the wanted ranks are then found by ``ranked_values``.
     """
-    eps = 2.0 / accuracy
-    targets = {"mid_low": 0.5, "mid_high": 0.5, "p95": 0.95}
-    shares = sorted({s for p in set(targets.values()) for s in (max(p - 2 * eps, 0.0), min(p + 2 * eps, 1.0))})
-    v = F.col(value)
+    v, n = F.col(value), F.col("n")
     kept = df.filter(v.isNotNull())
-    base = kept.groupBy(*groups).agg(
-        F.count("*").alias("n"),
-        F.avg(v).alias("mean"),
-        F.percentile_approx(v, [float(s) for s in shares], accuracy).alias("_q"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-    )
-    n = F.col("n")
-    index = {
-        "mid_low": F.floor((n - 1) / 2),
-        "mid_high": F.floor(n / 2),
-        "p95": F.floor(n * F.lit(0.95)),
-    }
-    at = lambda s: F.element_at("_q", shares.index(s) + 1)
-    spans = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("target"),
-                F.least(index[t], n - 1).alias("index"),
-                # A bracket next to either end opens fully: small groups are ranked whole.
-                F.when(n * 2 * eps < 2, F.col("_min")).otherwise(at(max(p - 2 * eps, 0.0))).alias("lo"),
-                F.when(n * 2 * eps < 2, F.col("_max")).otherwise(at(min(p + 2 * eps, 1.0))).alias("hi"),
-            )
-            for t, p in targets.items()
-        ]
-    )
-    bounds = base.select(*[F.col(g).alias(f"_b_{g}") for g in groups], F.inline(spans))
+    base = kept.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(v).alias("mean"))
+    index = {"mid_low": F.floor((n - 1) / 2), "mid_high": F.floor(n / 2), "p95": F.least(F.floor(n * F.lit(0.95)), n - 1)}
+    counted = kept.groupBy(*groups, v.alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = ranked_values(counted, groups, "_v", "_c")
+    wanted = base.select(*[F.col(g).alias(f"_b_{g}") for g in groups], *[i.alias(t) for t, i in index.items()])
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_b_{g}")) for g in groups], F.lit(True))
-    # Rows below a bracket only count; the partial aggregate folds them to one row per task.
-    placed = kept.join(bounds, same).filter(v <= F.col("hi")).withColumn("_v", F.when(v >= F.col("lo"), v))
-    counted = placed.groupBy(*groups, "target", "index", "_v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*groups, "target").orderBy(F.col("_v").asc_nulls_first())
-    hit = (
-        counted.withColumn("_upto", F.sum("c").over(w))
-        .filter(F.col("_v").isNotNull() & (F.col("_upto") > F.col("index")))
-        .groupBy(*[F.col(g).alias(f"_b_{g}") for g in groups])
-        .agg(*[F.min(F.when(F.col("target") == t, F.col("_v"))).alias(t) for t in targets])
-    )
+    # The first value that as many rows reach as the index asks for.
+    at = [F.min(F.when(F.col("upto") > F.col(t), F.col("_v"))).alias(t) for t in index]
+    hit = ranked.join(wanted, same).groupBy(*[F.col(f"_b_{g}") for g in groups]).agg(*at)
     median = (F.col("mid_low") + F.col("mid_high")) / 2
     return base.join(hit, same).select(*groups, "n", "mean", median.alias("median"), "p95")

@@ -162,7 +162,7 @@ def cleanup_counts(spark, sf):
 
 
 _BATCH = f"""{_MERGED}, s AS (SELECT launch_id, count(*) AS n FROM (WITH {SOURCES_SQL} SELECT * FROM sources) GROUP BY 1),
-    c AS (SELECT launch_id, count(*) AS n FROM (WITH {CONFLICTS_SQL} SELECT * FROM conflicts WHERE field_name = 'status') GROUP BY 1),
+    c AS (SELECT launch_id, count(*) AS n FROM (WITH {CONFLICTS_SQL} SELECT * FROM conflicts) GROUP BY 1),
     b AS (SELECT m.slug, m.change = 'created' AS was_created, coalesce(s.n, 0) AS sources_created, coalesce(c.n, 0) AS conflicts_created
         FROM m LEFT JOIN s ON s.launch_id = m.k LEFT JOIN c ON c.launch_id = m.k WHERE m.change <> 'kept')"""
 
@@ -170,7 +170,7 @@ _BATCH = f"""{_MERGED}, s AS (SELECT launch_id, count(*) AS n FROM (WITH {SOURCE
 def _batch(spark, sf):
     slug = F.concat(F.lit("order-"), "launch_id")
     s = sources(spark, sf).withColumn("slug", slug).withColumnRenamed("id", "ingest_seq").drop("launch_id")
-    c = conflicts(spark, sf).filter("field_name = 'status'").select(
+    c = conflicts(spark, sf).select(
         slug.alias("slug"), "field_name", "source1_value", "source2_value", "confidence_score", F.col("id").alias("ingest_seq")
     )
     return plan_batch(_current(spark, sf), _incoming(spark, sf), s, c, as_of())

@@ -81,6 +81,11 @@ _CHECKED_SQL = """c AS (SELECT l_orderkey * 8 + l_linenumber AS ingest_seq, *,
     CASE WHEN pm > 100000 THEN 'payload_mass:very_high' END] IF x IS NOT NULL] AS warnings FROM c)"""
 
 
+def document_lines(spark, sf) -> DataFrame:
+    """doc_id, line (from 0), t: every line of every document."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+
+
 def _checked(spark, sf):
     return VA.check_claims(raw_claims(spark, sf), F.lit(AS_OF).cast("timestamp"))
 
@@ -162,23 +167,29 @@ def overdue_launches(spark, sf):
 @query(
     "document_slugs",
     "V5 V6",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}_\s-]', '', 'g'),
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)
+    SELECT doc_id, CAST(line AS INTEGER) AS line, trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_\s-]', '', 'g'),
         '[-\s]+', '-', 'g'), '-') AS slug,
-      trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}_\s-]', '', 'g'),
-        '[\s_-]+', '-', 'g'), '-') AS page_slug FROM documents""",
+      trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_\s-]', '', 'g'),
+        '[\s_-]+', '-', 'g'), '-') AS page_slug FROM l""",
 )
 def document_slugs(spark, sf):
-    first = F.substring_index("text", "\n", 1)
-    return table(spark, sf, "documents").select("doc_id", X.slug(first).alias("slug"), X.page_slug(first).alias("page_slug"))
+    lines = document_lines(spark, sf)
+    return lines.select("doc_id", "line", X.slug(F.col("t")).alias("slug"), X.page_slug(F.col("t")).alias("page_slug"))
 
 
 @query(
     "status_spellings",
     "V1 C7",
-    """SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'success' WHEN 1 THEN 'success' WHEN 2 THEN 'failure' WHEN 3 THEN 'failure'
-        WHEN 4 THEN 'upcoming' WHEN 5 THEN 'upcoming' WHEN 6 THEN 'in_flight' WHEN 7 THEN 'in_flight'
-        ELSE 'aborted' END AS status FROM documents""",
+    """WITH s AS (SELECT event_id, event_type, user_id FROM events)
+    SELECT event_id, CASE WHEN event_type = 'purchase' AND user_id % 3 = 0 THEN 'completed' WHEN event_type = 'purchase' AND user_id % 3 = 1 THEN 'success'
+        WHEN event_type = 'purchase' THEN 'upcoming' WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'signup' THEN 'in_flight'
+        WHEN event_type = 'click' THEN 'aborted' ELSE event_type END AS status FROM s""",
 )
 def status_spellings(spark, sf):
-    spelled = F.element_at(F.array(*[F.lit(s) for s in C.STATUS_SYNONYMS]), (F.col("doc_id") % 11 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", V.clean_status(F.concat(F.lit(" "), F.upper(spelled))).alias("status"))
+    # What happened in an event, as sources spell it: other words, case, blanks; some are no status.
+    spelled = F.expr(
+        """CASE event_type WHEN 'purchase' THEN CASE user_id % 3 WHEN 0 THEN ' Completed ' WHEN 1 THEN 'SUCCESSFUL' ELSE 'Scheduled' END
+        WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'In-Flight' WHEN 'click' THEN 'CANCELED' ELSE event_type END"""
+    )
+    return table(spark, sf, "events").select("event_id", V.clean_status(spelled).alias("status"))

@@ -252,32 +252,108 @@ def source_metadata(spark, sf):
     return RD.with_source_metadata(s, F.current_timestamp()).select("s_suppkey", "source_name", "data_quality_score")
 
 
+# Line items as claims about their order, some invalid, with the fields and defects that SQL below knows from the columns.
+_ORDER_CLAIMS = """
+    concat('Order-', l_orderkey) AS slug,
+    concat(' Order ', l_orderkey) AS mission_name,
+    CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE date_format(date_add(l_shipdate, 4000), 'yyyy-MM-dd') END AS launch_date,
+    CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS vehicle_type,
+    CASE WHEN l_suppkey % 6 = 0 THEN 'n/a' ELSE CAST(l_extendedprice AS STRING) END AS payload_mass,
+    CASE WHEN l_linenumber = 3 THEN ' ' ELSE l_linestatus END AS orbit,
+    CASE l_suppkey % 3 WHEN 0 THEN 'Successful' WHEN 1 THEN 'success' ELSE 'FAILED' END AS status,
+    concat('qty ', repeat('x', CAST(l_quantity AS INT))) AS details,
+    CASE WHEN l_suppkey % 11 = 0 THEN 'ftp://x' END AS mission_patch_url,
+    CAST(NULL AS STRING) AS webcast_url,
+    CASE l_suppkey % 3 WHEN 0 THEN 'SpaceX Official' WHEN 1 THEN 'NASA' ELSE 'Wikipedia' END AS source_name,
+    'https://s.example/x' AS source_url,
+    '2001-01-01 00:00:00' AS scraped_at,
+    concat('0.', 1 + l_suppkey % 9) AS data_quality_score
+"""
+_ORDERS_SQL = """v AS (SELECT 'order-' || l_orderkey AS slug, 'Order ' || l_orderkey AS mission_name, (l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS seq,
+        CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE date_trunc('day', l_shipdate) + INTERVAL 4000 DAY END AS dt,
+        CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS vehicle, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_extendedprice END AS mass,
+        CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linestatus END AS orbit, CASE WHEN l_suppkey % 3 < 2 THEN 'success' ELSE 'failure' END AS status,
+        'qty ' || repeat('x', CAST(l_quantity AS INTEGER)) AS details, CASE l_suppkey % 3 WHEN 0 THEN 'SpaceX Official' WHEN 1 THEN 'NASA' ELSE 'Wikipedia' END AS source,
+        CASE l_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS prio, l_suppkey % 9 AS q FROM lineitem WHERE l_suppkey % 11 <> 0)"""
+
+
+def _fused_sql(claims: str, keys: str) -> str:
+    """Fusion of the claims by ranks: the first filled value in trust order, the longest details."""
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY prio, q DESC, seq) AS rk FROM {claims}),
+      l AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY length(details) DESC, rk) AS lrk FROM r),
+      f AS (SELECT slug, min(mission_name) AS mission_name, CAST(arg_min(dt, rk) FILTER (dt IS NOT NULL) AS TIMESTAMP) AS launch_date,
+        arg_min(vehicle, rk) FILTER (vehicle IS NOT NULL) AS vehicle_type, arg_min(mass, rk) FILTER (mass IS NOT NULL) AS payload_mass,
+        arg_min(orbit, rk) FILTER (orbit IS NOT NULL) AS orbit, arg_min(status, rk) AS status, arg_min(details, lrk) AS details,
+        arg_min(source, rk) AS base_source, count(*) AS n_claims FROM l GROUP BY {keys})"""
+
+
+def order_claims(spark, sf):
+    """Nested raw claims about orders, with the line number they came in."""
+    columns = [c.strip() for c in split_columns(_ORDER_CLAIMS)]
+    flat = table(spark, sf, "lineitem").selectExpr("(l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS ingest_seq", "l_linenumber", *columns)
+    return flat.select(F.struct(*LAUNCH_FIELDS).alias("raw"), F.struct(*SOURCE_FIELDS).alias("source"), "ingest_seq", "l_linenumber")
+
+
 def _run(spark, sf, **switches) -> Curated:
     return curate(raw_claims(spark, sf), F.lit(CLEAN_AS_OF).cast("timestamp"), CurateConfig(**switches))
 
 
+def _order_run(spark, sf, **switches) -> Curated:
+    return curate(order_claims(spark, sf).drop("l_linenumber"), F.lit(_ORDERS_AS_OF).cast("timestamp"), CurateConfig(**switches))
+
+
+_ORDERS_AS_OF = "2020-01-01"
+_RECORD = ["slug", "mission_name", "launch_date", "vehicle_type", "payload_mass", "orbit", "status", "details"]
+
+
+def _records(fused, *more):
+    return fused.select(*[_ntz(c) if c == "launch_date" else F.col(c) for c in _RECORD], *more)
+
+
 @query(
     "curated_records",
-    "S1 V10 F1 R8 R11 D4",
-    f"""WITH {_CHECKED_SQL}, v AS (SELECT lower(sl) AS slug, mn, ld, st, pm, l_returnflag AS vt, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linestatus END AS orb,
-          row_number() OVER (PARTITION BY lower(sl) ORDER BY ingest_seq, mn, pm, vt, orb) AS rk FROM e WHERE len(errors) = 0)
-    SELECT slug, count(*) AS n FROM v GROUP BY slug""",
+    "S1 V10 F1 R8 R9 R11",
+    f"WITH {_ORDERS_SQL}, {_fused_sql('v', 'slug')} SELECT * FROM f",
 )
 def curated_records(spark, sf):
-    fused = _run(spark, sf, detect_conflicts=False).fused
-    return fused.select("slug", F.col("n_claims").alias("n"))
+    """Raw claims to fused records, all fields."""
+    return _records(_order_run(spark, sf).fused, "base_source", "n_claims")
+
+
+@query(
+    "date_split_records",
+    "D4 F2 R8",
+    f"""WITH RECURSIVE {_ORDERS_SQL}, o AS (SELECT slug, seq, dt, row_number() OVER (PARTITION BY slug ORDER BY dt NULLS LAST, seq) AS i FROM v),
+      w AS (SELECT slug, seq, i, dt AS anchor FROM o WHERE i = 1
+        UNION ALL SELECT o.slug, o.seq, o.i, CASE WHEN o.dt IS NULL THEN NULL WHEN o.dt - w.anchor <= INTERVAL 24 HOUR THEN w.anchor ELSE o.dt END
+        FROM w JOIN o ON o.slug = w.slug AND o.i = w.i + 1),
+      c AS (SELECT v.*, w.anchor FROM v JOIN w ON w.slug = v.slug AND w.seq = v.seq), {_fused_sql('c', 'slug, anchor')} SELECT * FROM f""",
+)
+def date_split_records(spark, sf):
+    """The same claims, split by date inside an order before they are fused."""
+    return _records(_order_run(spark, sf, mode="date_split").fused, "base_source", "n_claims")
+
+
+_DIFFER = """(CASE WHEN abs(epoch(a.dt) - epoch(b.dt)) > {seconds} THEN 1 ELSE 0 END + CASE WHEN a.vehicle <> b.vehicle THEN 1 ELSE 0 END
+        + CASE WHEN {mass} THEN 1 ELSE 0 END + CASE WHEN a.orbit <> b.orbit THEN 1 ELSE 0 END + CASE WHEN a.status <> b.status THEN 1 ELSE 0 END
+        + CASE WHEN a.details <> b.details THEN 1 ELSE 0 END)"""
 
 
 @query(
     "curation_statistics",
     "A15",
-    f"""WITH {_CHECKED_SQL} SELECT count(*) AS input_records, count(*) FILTER (len(errors) = 0) AS validated_records,
-        count(*) FILTER (len(errors) > 0) AS validation_errors, count(DISTINCT lower(sl)) FILTER (len(errors) = 0) AS reconciled_records,
-        count(DISTINCT lower(sl)) FILTER (len(errors) = 0) AS final_records,
-        count(*) FILTER (len(errors) = 0) / count(*) AS validation_success_rate FROM e""",
+    f"""WITH {_ORDERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY prio, q DESC, seq) AS rk FROM v),
+      d AS (SELECT sum{_DIFFER.format(seconds=7200, mass="abs(a.mass - b.mass) / ((abs(a.mass) + abs(b.mass)) / 2.0::DOUBLE) * 100.0::DOUBLE > 10.0::DOUBLE")} AS n
+        FROM v a JOIN v b ON a.slug = b.slug AND a.seq < b.seq),
+      b AS (SELECT sum{_DIFFER.format(seconds=3600, mass="abs(a.mass - b.mass) / greatest(abs(a.mass), abs(b.mass)) > 0.1::DOUBLE")} AS n
+        FROM r a JOIN r b ON a.slug = b.slug AND a.rk = 1 AND b.rk > 1),
+      t AS (SELECT count(*) AS n FROM lineitem), c AS (SELECT count(*) AS n, count(DISTINCT slug) AS k FROM v)
+    SELECT t.n AS input_records, c.n AS validated_records, t.n - c.n AS validation_errors, c.k AS reconciled_records, c.k AS final_records,
+      CAST(d.n AS BIGINT) AS conflicts_detected, CAST(b.n AS BIGINT) AS base_conflicts, c.n / t.n AS validation_success_rate FROM t, c, d, b""",
 )
 def curation_statistics(spark, sf):
-    return statistics(_run(spark, sf, detect_conflicts=False), base=False)
+    """All stages of a run, conflicts between all claims and with the base claims included."""
+    return statistics(_order_run(spark, sf))
 
 
 @query(
@@ -292,41 +368,10 @@ def run_history_rows(spark, sf):
     return run_history(checked, "batch")
 
 
-# Line items as claims about their order, some invalid, in three batches by line number.
-_ORDER_CLAIMS = """
-    concat('Order-', l_orderkey) AS slug,
-    concat(' Order ', l_orderkey) AS mission_name,
-    CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE date_format(date_add(l_shipdate, 4000), 'yyyy-MM-dd') END AS launch_date,
-    CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS vehicle_type,
-    CASE WHEN l_suppkey % 6 = 0 THEN 'n/a' ELSE CAST(l_extendedprice AS STRING) END AS payload_mass,
-    CASE WHEN l_linenumber = 3 THEN ' ' ELSE l_linestatus END AS orbit,
-    CASE l_suppkey % 3 WHEN 0 THEN 'Successful' WHEN 1 THEN 'success' ELSE 'FAILED' END AS status,
-    concat('qty ', repeat('x', CAST(l_quantity AS INT))) AS details,
-    CASE WHEN l_suppkey % 11 = 0 THEN 'ftp://x' END AS mission_patch_url,
-    CAST(NULL AS STRING) AS webcast_url,
-    CASE l_suppkey % 3 WHEN 0 THEN 'SpaceX Official' WHEN 1 THEN 'NASA' ELSE 'Wikipedia' END AS source_name,
-    'https://s.example/x' AS source_url,
-    '2001-01-01 00:00:00' AS scraped_at,
-    concat('0.', 1 + l_suppkey % 9) AS data_quality_score
-"""
-_INGEST_AS_OF = "2020-01-01"
-
-
 @query(
     "incremental_curation",
     "T8",
-    """WITH v AS (SELECT 'order-' || l_orderkey AS slug, 'Order ' || l_orderkey AS mission_name, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS seq,
-        CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE date_trunc('day', l_shipdate) + INTERVAL 4000 DAY END AS dt,
-        CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END AS vehicle, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE l_extendedprice END AS mass,
-        CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linestatus END AS orbit, CASE WHEN l_suppkey % 3 < 2 THEN 'success' ELSE 'failure' END AS status,
-        'qty ' || repeat('x', CAST(l_quantity AS INTEGER)) AS details, CASE l_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS prio, l_suppkey % 9 AS q
-        FROM lineitem WHERE l_suppkey % 11 <> 0),
-      r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY prio, q DESC, seq) AS rk FROM v),
-      l AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY length(details) DESC, rk) AS lrk FROM r),
-      f AS (SELECT slug, min(mission_name) AS mission_name, arg_min(dt, rk) FILTER (dt IS NOT NULL) AS launch_date,
-        arg_min(vehicle, rk) FILTER (vehicle IS NOT NULL) AS vehicle_type, arg_min(mass, rk) FILTER (mass IS NOT NULL) AS payload_mass,
-        arg_min(orbit, rk) FILTER (orbit IS NOT NULL) AS orbit, arg_min(status, rk) AS status, arg_min(details, lrk) AS details, count(*) AS sources
-        FROM l GROUP BY slug),
+    f"""WITH {_ORDERS_SQL}, {_fused_sql('v', 'slug')},
       u AS (SELECT slug, 'launch_date' AS f, CAST(dt AS VARCHAR) AS t, epoch(dt)::DOUBLE AS n FROM v WHERE dt IS NOT NULL
         UNION SELECT slug, 'vehicle_type', vehicle, NULL FROM v WHERE vehicle IS NOT NULL
         UNION SELECT slug, 'payload_mass', CAST(mass AS VARCHAR), mass FROM v WHERE mass IS NOT NULL
@@ -336,22 +381,19 @@ _INGEST_AS_OF = "2020-01-01"
         WHERE CASE a.f WHEN 'launch_date' THEN abs(a.n - b.n) > 7200
           WHEN 'payload_mass' THEN abs(a.n - b.n) / ((abs(a.n) + abs(b.n)) / 2.0::DOUBLE) * 100.0::DOUBLE > 10.0::DOUBLE ELSE true END),
       c AS (SELECT slug, count(*) AS conflicts FROM p GROUP BY slug)
-    SELECT f.* REPLACE (CAST(launch_date AS TIMESTAMP) AS launch_date), coalesce(conflicts, 0) AS conflicts FROM f LEFT JOIN c ON c.slug = f.slug""",
+    SELECT f.* EXCLUDE (base_source, n_claims), n_claims AS sources, coalesce(conflicts, 0) AS conflicts FROM f LEFT JOIN c ON c.slug = f.slug""",
 )
 def incremental_curation(spark, sf):
     """Three batches through the sink, then the curated tables as they were published."""
-    flat = table(spark, sf, "lineitem").selectExpr("(l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS ingest_seq", "l_linenumber", *[c.strip() for c in split_columns(_ORDER_CLAIMS)])
-    raw = flat.select(F.struct(*LAUNCH_FIELDS).alias("raw"), F.struct(*SOURCE_FIELDS).alias("source"), "ingest_seq", "l_linenumber")
+    raw = order_claims(spark, sf)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curated-{uuid.uuid4().hex}"
-    sink = CurationSink(spark, root, F.lit(_INGEST_AS_OF).cast("timestamp"), key_parts=8, most_commits=2)
+    sink = CurationSink(spark, root, F.lit(_ORDERS_AS_OF).cast("timestamp"), key_parts=8, most_commits=2)
     for batch in range(3):
         sink(raw.filter(F.col("l_linenumber") % 3 == batch).drop("l_linenumber"), batch)
     count = lambda name, out: sink.tables.read(name).groupBy(F.col("launch_id").alias("id")).agg(F.count("*").alias(out))
     joined = sink.tables.read("launches").join(count("sources", "sources"), "id", "left").join(count("conflicts", "conflicts"), "id", "left")
-    return joined.select(
-        "slug", "mission_name", _ntz("launch_date"), "vehicle_type", F.col("payload_mass").cast("double").alias("payload_mass"), "orbit", "status", "details",
-        F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"),
-    )
+    rows = joined.withColumn("payload_mass", F.col("payload_mass").cast("double"))
+    return _records(rows, F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
 # Scalar expression library over events.

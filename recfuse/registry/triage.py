@@ -68,26 +68,29 @@ def conflicts_by_key(spark, sf):
 @query(
     "conflict_listing",
     "C6 C7 C9 C14 C16 C17",
-    f"""WITH {_PAIRS} SELECT field_name, least(v1, v2) AS low_value, greatest(v1, v2) AS high_value,
-        round(conf, 9) AS confidence_score, severity, auto_resolvable,
+    f"""WITH {_PAIRS}, v AS (SELECT *, least(v1, v2) AS lo, greatest(v1, v2) AS hi,
         CASE severity WHEN 'critical' THEN 'Manual review required for ' || field_name || ' conflict. Values significantly different.'
             WHEN 'high' THEN 'Prioritize higher-quality source for ' || field_name || '. Consider manual verification.'
             WHEN 'medium' THEN 'Use source priority rules for ' || field_name || '. Monitor for pattern.'
-            ELSE 'Auto-resolve using highest priority source for ' || field_name || '.' END AS recommendation,
-        count(*) AS pairs
-    FROM t WHERE field_name IN ('name', 'status', 'orbit') GROUP BY ALL""",
+            ELSE 'Auto-resolve using highest priority source for ' || field_name || '.' END AS recommendation FROM t)
+    SELECT k, field_name, severity, auto_resolvable, recommendation, count(*) AS pairs, min(lo) AS least_value, max(hi) AS greatest_value,
+        CAST(sum(length(lo) + 3 * length(hi)) AS BIGINT) AS characters,
+        CAST(sum(ascii(substr(lo, length(lo))) * length(hi) + ascii(substr(hi, length(hi)))) AS BIGINT) AS letters,
+        round(sum(conf), 6) AS confidence_sum FROM v GROUP BY ALL""",
 )
 def conflict_listing(spark, sf):
-    found = CO.detect(claims(spark, sf), P).filter(F.col("field_name").isin("name", "status", "orbit"))
-    return found.groupBy(
-        "field_name",
-        F.least("source1_value", "source2_value").alias("low_value"),
-        F.greatest("source1_value", "source2_value").alias("high_value"),
-        F.round("confidence_score", 9).alias("confidence_score"),
-        "severity",
-        "auto_resolvable",
-        "recommendation",
-    ).agg(F.sum("pair_count").alias("pairs"))
+    """All conflicts of all six fields, their shown values summed up per key, field and recommendation."""
+    low, high = F.least("source1_value", "source2_value"), F.greatest("source1_value", "source2_value")
+    rows = CO.detect(claims(spark, sf), P).withColumns({"lo": low, "hi": high})
+    last = lambda c: F.ascii(F.substring(c, -1, 1))
+    return rows.groupBy("k", "field_name", "severity", "auto_resolvable", "recommendation").agg(
+        F.sum("pair_count").alias("pairs"),
+        F.min("lo").alias("least_value"),
+        F.max("hi").alias("greatest_value"),
+        F.sum(F.col("pair_count") * (F.length("lo") + 3 * F.length("hi"))).alias("characters"),
+        F.sum(F.col("pair_count") * (last("lo") * F.length("hi") + last("hi"))).alias("letters"),
+        F.round(F.sum(F.col("pair_count") * F.col("confidence_score")), 6).alias("confidence_sum"),
+    )
 
 
 @query(

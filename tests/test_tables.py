@@ -79,12 +79,19 @@ def test_pages_are_exact(spark):
         SV.list_page(df, SV.ListParams(sort_by="details"))
 
 
-def test_nest_splits_large_parents(spark):
-    children = spark.range(25).select("id", F.lit(1).cast("bigint").alias("launch_id"))
-    out = SV.nest(launches(spark).select("id"), children, "launch_id", "kids", part=10).collect()
-    parts = [r for r in out if r.id == 1]
-    assert len(parts) == 3 and sum(len(r.kids) for r in parts) == 25
-    assert all(r.kids == [] and r.kids_part == 0 for r in out if r.id != 1) and len(out) == 9 + 3
+@pytest.mark.parametrize("n", [0, 25, 10_001, 25_000])
+def test_children_come_in_pages(spark, n):
+    """Pages of one size whatever a parent holds: in order, none lost, kinds side by side."""
+    ids = [i * 977 % 1_000_003 for i in range(n)]
+    children = spark.createDataFrame([(i, 1, "k") for i in ids], "id long, launch_id long, name string").repartition(5)
+    few = spark.createDataFrame([(7, 1), (3, 1), (5, 2)], "id long, launch_id long")
+    out = SV.nest(launches(spark).select("id"), {"kids": children, "few": few}, "launch_id", size=10).collect()
+    assert out[0].asDict().keys() == {"id", "page", "kids", "few"}
+    mine = sorted((r for r in out if r.id == 1), key=lambda r: r.page)
+    assert [r.page for r in mine] == list(range(max(1, -(-n // 10))))
+    assert [k.id for r in mine for k in r.kids] == sorted(ids) and all(len(r.kids) <= 10 for r in mine)
+    assert [f.id for f in mine[0].few] == [3, 7] and all(r.few == [] for r in mine[1:])
+    assert all(r.kids == [] and r.page == 0 for r in out if r.id != 1) and len(out) == 9 + len(mine)
 
 
 def test_statistics(spark):
@@ -103,6 +110,19 @@ def test_percentiles(spark, n):
     assert r.n == n and r.p95 == values[int(0.95 * n)] and r.median == (values[(n - 1) // 2] + values[n // 2]) / 2
 
 
+def test_percentiles_per_group_with_ties(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.5, float(rng.randrange(50))])) for _ in range(3000)]
+    got = {r.g: r for r in ST.percentile_report(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in ("a", "b", None):
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        n = len(values)
+        assert (got[g].n, got[g].p95, got[g].median) == (n, values[int(0.95 * n)], (values[(n - 1) // 2] + values[n // 2]) / 2)
+    assert ST.percentile_report(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
+
+
 def test_health(spark):
     rows = spark.createDataFrame([("healthy",), ("degraded",)], "status string")
     assert ST.overall_health(rows).first().status == "degraded"
