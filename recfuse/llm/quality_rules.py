@@ -111,8 +111,11 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, counts, base_failed, kept."""
-    return measured(docs).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", F.expr(verdict(rules)))
+    """doc_id, counts, base_failed, kept. The counts are pinned: a filter on what follows them can't evaluate them again."""
+    found = measured(docs)
+    pinned = found.select("doc_id", F.explode(F.array(F.struct([c for c in found.columns if c != "doc_id"]))).alias("_counts"))
+    out = pinned.select("doc_id", "_counts.*")
+    return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", F.expr(verdict(rules)))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
