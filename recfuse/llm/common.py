@@ -27,7 +27,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the folders of stored frames. Call it when all that is made of them is stored itself."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batched(df: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recfuse.llm.common import pairs_of, stored, texts
-from recfuse.llm.components import components
+from recfuse.llm.common import dropped, pairs_of, stored, texts
+from recfuse.llm.components import components, extended
 
 NGRAM = 5
 PERCENT = 80
@@ -120,6 +120,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             break
         least = row["n"]
     rows = met.where(F.col("n") >= least).select("s").toPandas()
+    dropped(met)
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -146,8 +147,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, d1 long, d2 long, keys array<long>, point binary")
 
 
-def _links(nodes: DataFrame) -> DataFrame:
-    """a, b: each node with the least node of each of its groups; linear in the rows."""
+def _links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: each node with the least node of each of its groups; linear in the rows. And the stored table behind them."""
     rows = nodes.select(F.explode("keys").alias("key"), "node")
     rows = rows.withColumn("salt", F.when(F.col("key") % 2 == 0, 0).otherwise(F.pmod("node", F.lit(SALTS))).cast("int"))
     led = rows.withColumn("b", F.min("node").over(Window.partitionBy("key", "salt")))
@@ -155,7 +156,7 @@ def _links(nodes: DataFrame) -> DataFrame:
     led = stored(led.where((F.col("node") != F.col("b")) | (F.col("key") % 2 != 0)).select("key", "node", "b"), "led")
     heads = led.where((F.col("node") == F.col("b")) & (F.col("key") % 2 != 0)).select("key", "node")
     heads = heads.select("node", F.min("node").over(Window.partitionBy("key")).alias("b"))
-    return led.select("node", "b").union(heads).where("node <> b").distinct().select(F.col("node").alias("a"), "b")
+    return led.select("node", "b").union(heads).where("node <> b").distinct().select(F.col("node").alias("a"), "b"), led
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -358,19 +359,19 @@ def _classed(state: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest(links: DataFrame, sure: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: verified pairs that join the classes which the sure pairs leave apart."""
-    left = _classed(components(links).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), components(sure))
+    """a, b: verified pairs that join the classes (sure: node, root) which the pairs verified first leave apart."""
+    left = _classed(extended(sure, links).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), sure)
     placed = _paged(left, times=OF_POINTS).withColumn("main", F.lit(False)).join(nodes.select("node", "point"), "node")
     linkable = stored(_forests(placed, "point", "true"), "linkable")
     short = stored(components(linkable).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), "short")
     sets = stored(_sets(docs, nodes.select("node", "first_id", "first_hash", "d1", "d2").join(short, "node", "left_semi")), "sets").select("node", "items")
 
-    left = _classed(short, components(sure))
+    left = _classed(short, sure)
     placed = _paged(left).withColumn("main", F.lit(False)).join(sets, "node")
     found = stored(_forests(placed, "items", "page2 <= page + 1"), "found")
     # Chains with several classes and pages that have not met.
     far = left.groupBy("chain").agg(F.sum(F.col("n") + ROW).alias("filled")).where(F.col("filled") >= 2 * PAGE).select("chain")
-    left = _classed(left.join(far, "chain", "left_semi"), components(sure.union(found)))
+    left = _classed(left.join(far, "chain", "left_semi"), extended(sure, found))
     largest = left.groupBy("chain", "root").count().groupBy("chain").agg(F.max_by("root", F.struct("count", "root")).alias("_main"))
     left = left.join(largest, "chain").withColumn("main", F.col("root") == F.col("_main")).drop("_main")
     parted = _paged(left, "main")
@@ -385,10 +386,13 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(row).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"))
     found = found.withColumn("first_id", F.coalesce("first.doc_id", F.lit(_NONE))).withColumn("first_hash", F.col("first.hash"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = stored(_links(nodes.select("node", "keys")), "links")
-    sure = stored(_verified(_possible(links, nodes), docs, nodes), "verified")
+    links, led = _links(nodes.select("node", "keys"))
+    links = stored(links, "links")
+    dropped(led)
+    sure = stored(components(_verified(_possible(links, nodes), docs, nodes)), "sure")
     more = stored(_rest(links, sure, docs, nodes), "more")
-    roots = components(sure.union(more))
+    roots = stored(extended(sure, more), "roots")
+    dropped(links, sure, more)
     named = nodes.select("d1", "d2", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("first"))
     return signed, named.select("d1", "d2", "root").join(least, "root")

@@ -1,22 +1,23 @@
 """Removal of long repeated strings by a distributed merge sort of suffixes.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else. Sorting a
+A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Sorting a
 suffix at every byte would move some hundred times the corpus, so suffixes start at anchors chosen
-by content alone: positions whose hash of ``GRAM`` bytes is least in some window of ``WINDOW``
-starts. Every string of LENGTH bytes holds the anchor of its first window, at the same place
-wherever the string occurs, so two occurrences meet as suffixes of their anchors.
+by content alone: positions whose hash of ``gram`` bytes is least in some window of ``window``
+starts. Every string of that length holds the anchor of its first window, at the same place
+wherever the string occurs, so two occurrences meet as suffixes of their anchors. ``Cut`` has the
+three numbers.
 
-1. Anchors whose next LENGTH - WINDOW + 1 bytes occur once in the corpus are dropped (by a hash;
+1. Anchors whose next length - window + 1 bytes occur once in the corpus are dropped (by a hash;
    a collision only keeps an anchor that the exact steps reject).
 2. Each task sorts the suffixes of its anchors into runs, merges equal ones with equal left
    contexts, and sends each run front-coded: the length shared with the suffix before, and the rest.
 3. Each receiving task merges its runs with a loser tree over (shared length, suffix). Lengths
    already known are never compared again, and the merge gives the shared length of all neighbours.
 4. For each offset o of the string before the anchor, two suffixes hold the same string if their
-   shared length is LENGTH - o at least and the o bytes before them are equal (by a 64-bit hash).
+   shared length is length - o at least and the o bytes before them are equal (by a 64-bit hash).
 
-Null text counts as empty; texts shorter than LENGTH lose nothing. Repeated rows are places of their
-own, so all bytes of a repeated text of LENGTH bytes or more go. Columns other than doc_id and text
+Null text counts as empty; texts shorter than that length lose nothing. Repeated rows are places of their
+own, so all bytes of a repeated text of that length or more go. Columns other than doc_id and text
 are ignored by ``spans`` and kept by ``remove``.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,12 +33,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recfuse.llm.common import pairs_of, stored, texts
+from recfuse.llm.common import dropped, pairs_of, stored, texts
 
-LENGTH = 400
-WINDOW = 256
-GRAM = 16
-STRETCH = LENGTH - WINDOW + 1
+
+
+@dataclass(frozen=True)
+class Cut:
+    """length: of the strings that count; window: of starts with an anchor, a power of two; gram: bytes an anchor's hash reads (16).
+
+    The window is shorter than the length by more than the gram.
+    """
+
+    length: int = 400
+    window: int = 256
+    gram: int = 16
+
+    @property
+    def stretch(self) -> int:
+        return self.length - self.window + 1
+
+
+CUT = Cut()
 #: Suffixes in a run, and about as many as a receiving task merges.
 RUN = 60_000
 MERGED = 40_000
@@ -60,24 +77,24 @@ def _least(values: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return values
 
 
-def anchor_positions(raw: bytes) -> np.ndarray:
+def anchor_positions(raw: bytes, cut: Cut = CUT) -> np.ndarray:
     n = len(raw)
-    if n < LENGTH:
+    if n < cut.length:
         return np.zeros(0, np.int64)
-    count = n - GRAM + 1
+    count = n - cut.gram + 1
     a, b = (np.ndarray((count,), "<u8", raw, k, (1,)) for k in (0, 8))
     h = a * _A ^ (b * _B + (a >> np.uint64(29)))
     h = (h ^ (h >> np.uint64(32))) * _C
     h ^= h >> np.uint64(31)
-    least = _least(h, WINDOW)[: n - LENGTH + 1]
+    least = _least(h, cut.window)[: n - cut.length + 1]
     # A position is an anchor if it is least in a window that holds it: the greatest of those minima.
-    pad = np.zeros(WINDOW - 1, np.uint64)
-    greatest = _least(np.concatenate([pad, least, pad]), WINDOW, np.maximum)
+    pad = np.zeros(cut.window - 1, np.uint64)
+    greatest = _least(np.concatenate([pad, least, pad]), cut.window, np.maximum)
     # Each of the positions is in a window, whose minimum the zeros of the padding never exceed.
     return np.flatnonzero(h[: len(greatest)] == greatest)
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
+def _anchors(docs: DataFrame, cut: Cut) -> DataFrame:
     from_names = "_k1 long, _k2 long, x int, h long"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -87,10 +104,10 @@ def _anchors(docs: DataFrame) -> DataFrame:
             places, hashes, counts = [], [], []
             for text in rows:
                 raw = text.encode()
-                at = anchor_positions(raw)
+                at = anchor_positions(raw, cut)
                 counts.append(len(at))
                 places.append(at)
-                hashes += [xxh3_64_intdigest(raw[x : x + STRETCH]) for x in at.tolist()]
+                hashes += [xxh3_64_intdigest(raw[x : x + cut.stretch]) for x in at.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(np.array(k1, np.int64), counts)),
@@ -171,7 +188,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 _RUN = "part int, sizes binary, lengths binary, rests binary, left_sizes binary, lefts binary, counts binary, k1 binary, k2 binary, x binary"
 
 
-def _runs(rows: DataFrame, parts: int) -> DataFrame:
+def _runs(rows: DataFrame, parts: int, cut: Cut) -> DataFrame:
     """Sorted, front-coded runs of the suffixes at the places ``xs`` of each text, dealt by a hash of their first bytes."""
 
     def coded(found: list[tuple[bytes, bytes, int, int, int]]) -> Iterator[tuple]:
@@ -180,7 +197,7 @@ def _runs(rows: DataFrame, parts: int) -> DataFrame:
         found.sort(key=lambda f: f[:2])
         by_part: dict[int, list[list]] = {}
         for right, left, k1, k2, x in found:
-            part = xxh3_64_intdigest(right[:STRETCH], seed=1) % parts
+            part = xxh3_64_intdigest(right[: cut.stretch], seed=1) % parts
             own = by_part.setdefault(part, [])
             if own and own[-1][0] == right and own[-1][1] == left:
                 own[-1][2].append((k1, k2, x))
@@ -212,7 +229,7 @@ def _runs(rows: DataFrame, parts: int) -> DataFrame:
             for a, b, text, xs in zip(k1, k2, rows, places, strict=True):
                 raw = text.encode()
                 for x in xs:
-                    found.append((raw[x : x + LENGTH], raw[max(0, x - WINDOW + 1) : x], a, b, x))
+                    found.append((raw[x : x + cut.length], raw[max(0, x - cut.window + 1) : x], a, b, x))
                 if len(found) >= RUN:
                     yield batch_of(found)
                     found = []
@@ -222,7 +239,7 @@ def _runs(rows: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _RUN)
 
 
-def _decoded(row) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
+def _decoded(row, cut: Cut) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
     """Suffixes, shared lengths, and left contexts (reversed, in a matrix, with their sizes) of a run."""
     sizes, known = np.frombuffer(row.sizes, np.int32).tolist(), np.frombuffer(row.lengths, np.int32).tolist()
     suffixes, before, at = [], b"", 0
@@ -231,23 +248,23 @@ def _decoded(row) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
         at += size - n
         suffixes.append(before)
     left_sizes = np.frombuffer(row.left_sizes, np.int32)
-    matrix = np.zeros((len(sizes), WINDOW - 1), np.uint8)
-    columns = np.arange(WINDOW - 1)
+    matrix = np.zeros((len(sizes), cut.window - 1), np.uint8)
+    columns = np.arange(cut.window - 1)
     matrix[columns < left_sizes[:, None]] = np.frombuffer(b"".join(row.lefts[e - s : e][::-1] for s, e in zip(left_sizes, np.cumsum(left_sizes), strict=True)), np.uint8)
     return suffixes, known, matrix, left_sizes
 
 
-def repeated_offsets(known: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, left_sizes: np.ndarray, alone: np.ndarray) -> np.ndarray:
+def repeated_offsets(known: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, left_sizes: np.ndarray, alone: np.ndarray, cut: Cut = CUT) -> np.ndarray:
     """For suffixes in order: a matrix that says for which offsets the string around the anchor occurs again."""
     n = len(sizes)
-    out = np.zeros((n, WINDOW), bool)
+    out = np.zeros((n, cut.window), bool)
     before = np.full(n, 0x51ED270B, np.uint64)
-    for o in range(WINDOW):
+    for o in range(cut.window):
         if o:
             before = (before + lefts[:, o - 1].astype(np.uint64) + np.uint64(1)) * _A
             before ^= before >> np.uint64(29)
-        valid = np.flatnonzero((left_sizes >= o) & (sizes >= LENGTH - o))
-        group = np.cumsum(known < LENGTH - o).astype(np.uint64)[valid]
+        valid = np.flatnonzero((left_sizes >= o) & (sizes >= cut.length - o))
+        group = np.cumsum(known < cut.length - o).astype(np.uint64)[valid]
         key = (before[valid] ^ (group * _B)) * _C
         order = np.argsort(key, kind="stable")
         same = key[order[1:]] == key[order[:-1]]
@@ -257,11 +274,11 @@ def repeated_offsets(known: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, le
     return out
 
 
-def _merged(runs: DataFrame) -> DataFrame:
+def _merged(runs: DataFrame, cut: Cut) -> DataFrame:
     """Spans _k1, _k2, a, b (end exclusive) whose bytes go."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        decoded = [(row, *_decoded(row)) for row in group.itertuples(index=False)]
+        decoded = [(row, *_decoded(row, cut)) for row in group.itertuples(index=False)]
         order = list(merge_runs([(d[1], d[2]) for d in decoded]))
         bases = np.cumsum([0, *(len(d[1]) for d in decoded)])
         at = np.array([bases[r] + i for r, i, _ in order], np.int64)
@@ -269,7 +286,7 @@ def _merged(runs: DataFrame) -> DataFrame:
         sizes = np.concatenate([np.frombuffer(d[0].sizes, np.int32) for d in decoded])[at]
         counts = np.concatenate([np.frombuffer(d[0].counts, np.int32) for d in decoded])
         lefts, left_sizes = np.concatenate([d[3] for d in decoded])[at], np.concatenate([d[4] for d in decoded])[at]
-        found = repeated_offsets(known, sizes, lefts, left_sizes, counts[at] == 1)
+        found = repeated_offsets(known, sizes, lefts, left_sizes, counts[at] == 1, cut)
         edges = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
         (entry, low), (_, high) = np.nonzero(edges == 1), np.nonzero(edges == -1)
         firsts = np.concatenate([[0], np.cumsum(counts)])
@@ -282,22 +299,23 @@ def _merged(runs: DataFrame) -> DataFrame:
                 "_k1": k1[member],
                 "_k2": k2[member],
                 "a": x[member] - np.repeat(high - 1, copies),
-                "b": x[member] - np.repeat(low, copies) + LENGTH,
+                "b": x[member] - np.repeat(low, copies) + cut.length,
             }
         )
 
     return runs.groupBy("part").applyInPandas(merge, "_k1 long, _k2 long, a long, b long")
 
 
-def _spans(docs: DataFrame) -> DataFrame:
+def _spans(docs: DataFrame, cut: Cut) -> DataFrame:
     """_k1, _k2, spans array<struct<a,b>> of the rows that lose something. docs: keyed, text not null."""
     spark = docs.sparkSession
-    anchors = stored(_anchors(docs), "anchors")
+    anchors = stored(_anchors(docs, cut), "anchors")
     again = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     kept = stored(anchors.join(again, "h", "left_semi").groupBy(*_KEYS).agg(F.collect_list("x").alias("xs")), "anchors-again")
+    dropped(anchors)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (kept.agg(F.sum(F.size("xs"))).first()[0] or 0) // MERGED)
-    runs = _runs(docs.select(*_KEYS, "text").join(kept, list(_KEYS)), parts)
-    return _merged(runs).groupBy(*_KEYS).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    runs = _runs(docs.select(*_KEYS, "text").join(kept, list(_KEYS)), parts, cut)
+    return _merged(runs, cut).groupBy(*_KEYS).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def united(spans, n: int) -> list[tuple[int, int]]:
@@ -316,7 +334,7 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, cut: Cut = CUT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     keyed = _keyed(texts(docs))
 
@@ -330,20 +348,23 @@ def digests(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = keyed.join(_spans(keyed), list(_KEYS), "left").select("doc_id", "text", "spans")
+    joined = keyed.join(_spans(keyed, cut), list(_KEYS), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """The same rows and columns; a character goes if any of its bytes goes. n_chars, if present, follows."""
+def remove(docs: DataFrame, cut: Cut = CUT, words: int = 0) -> DataFrame:
+    """The same rows and columns; a character goes if any of its bytes goes. n_chars, if present, follows.
+
+    Runs of removable bytes with fewer than ``words`` words (stretches without ASCII white space) stay.
+    """
     keyed = _keyed(docs)
-    spans = _spans(keyed.select(*_KEYS, F.coalesce(F.col("text"), F.lit("")).alias("text")))
+    spans = _spans(keyed.select(*_KEYS, F.coalesce(F.col("text"), F.lit("")).alias("text")), cut)
 
     @F.pandas_udf("string")
     def left(column: pd.Series, found: pd.Series) -> pd.Series:
         def one(text, spans):
             raw = (text or "").encode()
-            return _kept(raw, united(spans, len(raw))).decode("utf-8", "ignore")
+            return _kept(raw, [(a, b) for a, b in united(spans, len(raw)) if len(raw[a:b].split()) >= words]).decode("utf-8", "ignore")
 
         return pd.Series([one(t, s) for t, s in zip(column, found, strict=True)], dtype=object)
 

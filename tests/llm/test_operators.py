@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recfuse.llm import bpe, ngram_join, orc_tokens, packing, quality_rules, secrets, suffix_dedup, syncmers
-from recfuse.llm.components import components
+from recfuse.llm.components import components, extended
+from recfuse.llm.common import stored
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -153,6 +154,13 @@ def test_secrets_of_letters_and_behind_paths():
     assert scanner.added(text, scanner.base(text)) == []
 
 
+def test_filter_on_the_verdict(spark):
+    """A filter after the rules evaluates nothing again."""
+    df = spark.createDataFrame([(1, "word " * 4000), (2, "the " + "of lines and words " * 3)], "doc_id long, text string")
+    assert [r["doc_id"] for r in quality_rules.judged(df).where("not kept").collect()] == [1, 2]
+    assert quality_rules.judged(df).where("kept and n_words > 5").count() == 0
+
+
 def brute_classes(rows):
     sets = []
     for r in rows:
@@ -261,16 +269,32 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {n: 50 for n in (50, 51, 52, 53, 54, 100)}
 
 
-def brute_repeats(rows):
+def test_extended_components(spark):
+    rng = np.random.default_rng(1)
+    edges = lambda n: [(int(a), int(b)) for a, b in rng.integers(0, 300, (n, 2))]
+    first, more = edges(90), edges(60)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    rows_of = lambda df: {r["node"]: r["root"] for r in df.collect()}
+    known = stored(components(frame(first)), "test")
+    got, want = rows_of(extended(known, frame(more))), rows_of(components(frame(first + more)))
+    assert got == want and rows_of(extended(known, frame([]))) == rows_of(known)
+
+
+def repeated_bytes(rows, length):
+    """Row and a mask of the bytes that repeated strings cover."""
     raws = [text_of(r).encode() for r in rows]
-    seen = Counter(raw[i : i + 400] for raw in raws for i in range(len(raw) - 399))
-    out = Counter()
+    seen = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
     for r, raw in zip(rows, raws, strict=True):
-        gone = np.zeros(len(raw) + 400, bool)
-        for i in range(len(raw) - 399):
-            if seen[raw[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        gone = gone[: len(raw)]
+        gone = np.zeros(len(raw) + length, bool)
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                gone[i : i + length] = True
+        yield r, raw, gone[: len(raw)]
+
+
+def brute_repeats(rows, length=400):
+    out = Counter()
+    for r, raw, gone in repeated_bytes(rows, length):
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         out[(r["doc_id"], (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))] += 1
@@ -283,6 +307,26 @@ def test_suffix_dedup(small, rows):
     assert left.columns == small.columns and left.count() == len(rows)
 
 
+def without_passages(rows, length, words):
+    """Texts without runs of repeated bytes that hold enough words."""
+    out = Counter()
+    for r, raw, gone in repeated_bytes(rows, length):
+        edges = np.flatnonzero(np.diff(gone.astype(int), prepend=0, append=0)).tolist()
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            if len(raw[a:b].split()) < words:
+                gone[a:b] = False
+        left = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        out[r["doc_id"], None if r["text"] is None else left] += 1
+    return out
+
+
+def test_suffix_dedup_by_words(small, rows):
+    cut = suffix_dedup.Cut(200, 128)
+    assert collected(suffix_dedup.digests(small, cut), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 200)
+    for words in (0, 50, 150):
+        assert collected(suffix_dedup.remove(small, cut, words), "text") == without_passages(rows, 200, words)
+
+
 def test_suffix_dedup_of_nuls(spark):
     """Runs of NULs hash to the least value there is; they are bytes like others."""
     rnd = np.random.default_rng(4)

@@ -8,7 +8,7 @@ import zlib
 import corpus_pipeline
 from recfuse.llm import packing, queries
 from recfuse.llm.common import stored
-from tests.llm.test_operators import brute_repeats, ids_of
+from tests.llm.test_operators import ids_of, without_passages
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -24,8 +24,8 @@ def test_stages_and_run(spark):
     rules, join, repeats, secrets = (kept[n] for n, _ in corpus_pipeline.STAGES[:-1])
     assert 0 < len(rules[1]) < len(rules[0])
     assert {r["doc_id"] for r in join[1]} < {r["doc_id"] for r in join[0]}
-    want = {k[0]: k[1][0] - k[1][1] for k in brute_repeats([r.asDict() for r in repeats[0]])}
-    assert all(len(r["text"].encode()) <= want[r["doc_id"]] for r in repeats[1]) and len(repeats[1]) == len(repeats[0])
+    left = without_passages([r.asDict() for r in repeats[0]], corpus_pipeline.PASSAGE.length, corpus_pipeline.PASSAGE_WORDS)
+    assert left == {(r["doc_id"], r["text"]): 1 for r in repeats[1]}
     assert not any(re.search(r"[0-9a-f]{32}", r["text"]) for r in secrets[1])
     ends = {r["doc_id"]: ids_of(r["text"], "word_bpe_49k.json", 1) for r in secrets[1]}
     got = corpus_pipeline.run(spark, SF_DIR).collect()
