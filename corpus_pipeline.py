@@ -18,9 +18,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_first(docs)
 
 
+#: Passages of this many words that start anywhere else too are removed; none of them is shorter than the strings compared.
+PASSAGE_WORDS = 50
+PASSAGE = suffix_dedup.Cut(length=200, window=128)
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes or more that start anywhere else too."""
-    return suffix_dedup.remove(docs)
+    """All documents, without passages of 50 words or more (and 200 bytes) that start anywhere else too."""
+    return suffix_dedup.remove(docs, PASSAGE, PASSAGE_WORDS)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
