@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import codecs
 import contextlib
+import gc
 import hashlib
 import re
 import sys
@@ -39,8 +40,8 @@ from recfuse.llm.common import lists, pairs_of, texts
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: States, remembered pairs of tokens, and remembered decoding steps of a worker.
-STATES = 120_000
-PAIRS = 400_000
+STATES = 300_000
+PAIRS = 800_000
 
 _PLAIN = re.compile(rf"[\n -~{LETTERS}]*")
 
@@ -281,6 +282,10 @@ class TransducerCodec:
         self.split_plain = re.compile(plain).findall
         self.machine, self.texts = Transducer(ranks), Utf8Machine({rank: token for token, rank in ranks.items()})
         self.known = Remembered(self._match)
+        # The tables above live as long as the worker: the garbage collector needn't walk them again and again.
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 100)
 
     def _match(self, match: str) -> bytes:
         raw = match.encode()
