@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recfuse.functions import values as V
+from recfuse.operators import conflict_counts as CN
 from recfuse.operators import conflicts as CO
 from recfuse.registry.base import query
 from recfuse.registry.views import CLAIMS_PROFILE as P
@@ -103,7 +104,7 @@ def conflict_listing(spark, sf):
     UNION ALL SELECT 'field', field_name, CAST(sum(n) AS BIGINT), CAST(sum(a) AS BIGINT), CAST(sum(n) - sum(a) AS BIGINT) FROM g GROUP BY field_name""",
 )
 def conflict_summary(spark, sf):
-    return CO.summary(CO.detect(claims(spark, sf), P))
+    return CO.summary(CN.conflict_counts(claims(spark, sf), P))
 
 
 @query(
@@ -112,7 +113,7 @@ def conflict_summary(spark, sf):
     f"WITH {_PAIRS} SELECT k, field_name, count(*) AS pairs FROM t WHERE severity = 'critical' GROUP BY ALL",
 )
 def critical_conflicts(spark, sf):
-    found = CO.critical(CO.detect(claims(spark, sf), P))
+    found = CO.critical(CN.conflict_counts(claims(spark, sf), P))
     return found.groupBy("k", "field_name").agg(F.sum("pair_count").alias("pairs"))
 
 
