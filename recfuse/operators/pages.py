@@ -1,7 +1,7 @@
 """Records from web pages: cards, news items, tables, lists.
 
-Works on the element arrays of ``recfuse.sources.html``; everything up to the record rows is
-computed inside the page's own row.
+Works on the element arrays of ``recfuse.sources.html``. What becomes a row of its own, a card or a
+table row, takes along its own subtree, not the page.
 """
 
 from __future__ import annotations
@@ -111,10 +111,11 @@ def _webcast(scope: Column, site: Column) -> Column:
 
 
 def _record(df: DataFrame, fields: dict[str, Column], keep: Sequence[str]) -> DataFrame:
-    """Evaluate the name first, then the other fields for rows that have one."""
+    """Evaluate the name first, then the other fields for rows that have one; the date once, as the status asks for it too."""
     named = pin(df, "mission_name", fields["mission_name"]).filter(F.col("mission_name").isNotNull())
+    named = pin(named, "launch_date", fields["launch_date"])
     for name, c in fields.items():
-        named = named if name == "mission_name" else named.withColumn(name, c)
+        named = named if name in ("mission_name", "launch_date") else named.withColumn(name, c)
     return named.select(*keep)
 
 
@@ -126,8 +127,10 @@ RECORD = [
 
 def card_records(pages: DataFrame, as_of: Column, extended_dates: bool = False) -> DataFrame:
     """Cards found by any strategy; the first card of each slug on a page is kept."""
-    cards = pages.select("page_id", "url", "raw", "text", "els", F.explode(_cards(CARD_STRATEGIES)).alias("c"))
-    e, t = F.col("c.e"), F.col("card_text")
+    own = lambda c: F.struct(c["strategy"].alias("strategy"), c["e"]["n"].alias("position"), H.subtree(c["e"]).alias("page"))
+    cards = pages.select("page_id", "url", F.explode(F.transform(_cards(CARD_STRATEGIES), own)).alias("c"))
+    cards = cards.select("page_id", "url", "c.strategy", "c.position", "c.page.*")
+    e, t = H.root(), F.col("card_text")
     scope = H.inside(e)
     site = E.site_of("url")
     name = F.coalesce(
@@ -157,8 +160,8 @@ def card_records(pages: DataFrame, as_of: Column, extended_dates: bool = False)
             "details": details,
             "mission_patch_url": _patch(scope, site),
             "webcast_url": _webcast(scope, site),
-            "strategy": F.col("c.strategy"),
-            "position": e["n"],
+            "strategy": F.col("strategy"),
+            "position": F.col("position"),
         },
         RECORD,
     )
@@ -182,12 +185,13 @@ def news_records(
     so, se = first_non_empty(SEARCH_SELECTORS)
     no, ne = first_non_empty(NEWS_SELECTORS)
     mentioned = F.filter(ne, lambda e: X.contains_any(H.raw_of(e), list(mention_keywords)))
+    own = lambda e: F.struct(e["n"].alias("position"), H.subtree(e).alias("page"))
     items = pages.select(
-        "page_id", "url", "raw", "text", "els",
+        "page_id", "url",
         F.when(is_search, so).otherwise(no).alias("strategy"),
-        F.explode(F.when(is_search, se).otherwise(mentioned)).alias("e"),
-    )
-    e, t = F.col("e"), F.col("item_text")
+        F.explode(F.transform(F.when(is_search, se).otherwise(mentioned), own)).alias("i"),
+    ).select("page_id", "url", "strategy", "i.position", "i.page.*")
+    e, t = H.root(), F.col("item_text")
     scope = H.inside(e)
     titles = lambda found: H.first(
         F.filter(
@@ -216,7 +220,7 @@ def news_records(
             "details": details,
             "mission_patch_url": F.lit(None).cast("string"),
             "webcast_url": F.lit(None).cast("string"),
-            "position": e["n"],
+            "position": F.col("position"),
         },
         RECORD,
     )
@@ -231,8 +235,9 @@ def table_rows(pages: DataFrame) -> DataFrame:
     Rows with fewer cells than the last role's column are dropped.
     """
     is_table = lambda e: H.tagged("table")(e) & (H.class_is("wikitable")(e) | H.class_is("sortable")(e))
-    tables = pages.select("page_id", "url", "raw", "text", "els", F.posexplode(F.filter("els", is_table)).alias("table_no", "t"))
-    t = F.col("t")
+    tables = pages.select("page_id", "url", F.posexplode(F.transform(F.filter("els", is_table), H.subtree)).alias("table_no", "t"))
+    tables = tables.select("page_id", "url", "table_no", "t.*")
+    t = H.root()
     cells = lambda r, *tags: F.filter(H.inside(r), H.tagged(*tags))
     likely = tables.filter(E.indicator_count(H.raw_of(t)) >= 3).withColumn("trs", F.filter(H.inside(t), H.tagged("tr")))
     headed = likely.withColumn("heads", F.transform(cells(H.first(F.col("trs")), "th", "td"), lambda h: E.header_role(H.text_of(h))))
@@ -244,11 +249,12 @@ def table_rows(pages: DataFrame) -> DataFrame:
     roled = headed.withColumn("named", named).withColumn(
         "roles", F.map_from_entries(F.filter("named", lambda s: last_of(F.col("named"), s)))
     )
+    below = F.slice("trs", F.lit(2), F.greatest(F.size("trs") - 1, F.lit(0)))
     rows = roled.filter(F.size("named") > 0).select(
-        "page_id", "url", "text", "els", "table_no", "roles",
-        F.posexplode(F.slice("trs", F.lit(2), F.greatest(F.size("trs") - 1, F.lit(0)))).alias("row_no", "tr"),
+        "page_id", "url", "table_no", "roles", F.posexplode(F.transform(below, H.subtree)).alias("row_no", "tr")
     )
-    texts = F.transform(cells(F.col("tr"), "td", "th"), lambda c: E.cell_text(H.text_of(c)))
+    rows = rows.select("page_id", "url", "table_no", "roles", "row_no", "tr.*")
+    texts = F.transform(cells(H.root(), "td", "th"), lambda c: E.cell_text(H.text_of(c)))
     return (
         pin(rows, "cells", texts)
         .filter(F.size("cells") >= F.array_max(F.map_values("roles")) + 1)
@@ -293,10 +299,10 @@ def list_records(pages: DataFrame, as_of: Column, keywords: Sequence[str] = tupl
     """Records from items of lists that mention a keyword; the name is the text before the colon."""
     lists = F.filter("els", lambda e: H.tagged("ul", "ol")(e) & X.contains_any(H.raw_of(e), list(keywords)))
     items = F.flatten(F.transform(lists, lambda e: F.filter(H.inside(e), H.tagged("li"))))
-    rows = (
-        pin(pages.select("page_id", "url", "raw", "text", "els", F.explode(items).alias("e")), "item_text", H.text_of(F.col("e")))
-        .filter((F.length("item_text") >= 20) & ~F.col("item_text").startswith(":"))
-    )
+    # Of an item, only its text counts.
+    own = F.transform(items, lambda e: F.struct(e["n"].alias("position"), H.text_of(e).alias("text")))
+    exploded = pages.select("page_id", "url", F.explode(own).alias("i")).select("page_id", "url", "i.position", F.col("i.text").alias("item_text"))
+    rows = exploded.filter((F.length("item_text") >= 20) & ~F.col("item_text").startswith(":"))
     t = F.col("item_text")
     return _record(
         rows,
@@ -312,7 +318,7 @@ def list_records(pages: DataFrame, as_of: Column, keywords: Sequence[str] = tupl
             "mission_patch_url": F.lit(None).cast("string"),
             "webcast_url": F.lit(None).cast("string"),
             "strategy": F.lit(0),
-            "position": F.col("e.n"),
+            "position": F.col("position"),
         },
         RECORD,
     )

@@ -45,10 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give heavy row-wise work enough tasks when a table has fewer input splits than the cluster has cores.
 
-    A large table has splits enough and is left as it is.
+    Rows are dealt out in turn, not by a key: what follows is planned as it is on a table with splits
+    enough, which is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -45,7 +45,7 @@ _RAW = """
 
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested raw claims as the scan delivers them, plus the line item's identifying columns."""
-    flat = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr(*[c.strip() for c in split_columns(_RAW)])
+    flat = spread(table(spark, sf_dir, "lineitem")).selectExpr(*[c.strip() for c in split_columns(_RAW)])
     return flat.select(
         F.struct(*LAUNCH_FIELDS).alias("raw"),
         F.struct(*SOURCE_FIELDS).alias("source"),

@@ -17,7 +17,7 @@ def _as_of():
 
 
 def _pages(spark, sf):
-    return H.parse_pages(spread(table(spark, sf, "pages"), "page_id"))
+    return H.parse_pages(spread(table(spark, sf, "pages")))
 
 
 def _plain(html: str) -> str:
@@ -127,7 +127,7 @@ _CARD = """concat('<div><article class="launch-card"><h2>Order ', o_orderkey, '<
       1 AS strategy FROM o""",
 )
 def order_card_records(spark, sf):
-    pages = spread(table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey AS page_id", "'https://site.example/launches' AS url", f"{_CARD} AS html")
+    pages = spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS page_id", "'https://site.example/launches' AS url", f"{_CARD} AS html")
     rows = PG.card_records(H.parse_pages(pages), _as_of())
     return rows.select(
         "page_id", "slug", "mission_name", F.col("launch_date").cast("timestamp_ntz").alias("launch_date"), "vehicle_type", "status",
@@ -151,7 +151,7 @@ _TABLE = """concat('<table class="', CASE WHEN o_orderkey % 6 = 0 THEN 'plain' E
       coalesce(NULL, '') AS details FROM orders WHERE o_orderkey % 6 <> 0""",
 )
 def order_table_records(spark, sf):
-    pages = spread(table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey AS page_id", "'https://site.example/list' AS url", f"{_TABLE} AS html")
+    pages = spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS page_id", "'https://site.example/list' AS url", f"{_TABLE} AS html")
     rows = PG.table_records(H.parse_pages(pages), _as_of())
     return rows.select(
         "page_id", "mission_name", F.col("launch_date").cast("timestamp_ntz").alias("launch_date"), "vehicle_type",
@@ -159,6 +159,51 @@ def order_table_records(spark, sf):
     )
 
 
+# The same table above a list that repeats its mission, names another one, and has items that don't count.
+_WIKI = f"""concat('<div>', {_TABLE}, '<ul><li>Order ', o_orderkey, ': launch on ', date_format(o_orderdate, 'yyyy-MM-dd'), ' with Falcon 9, ',
+    CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'successful' ELSE 'as it seems' END, ' for customer ', o_custkey, '</li><li>tiny</li>',
+    '<li>: starts with a colon and is long enough</li><li>Second Order ', o_orderkey, ': Dragon mission, its day is not known to anyone so far</li></ul>',
+    '<ul><li>Another list of words that say nothing here</li></ul></div>')"""
+
+
+@query(
+    "order_wiki_records",
+    "X4 X7 X12 X14 W3",
+    f"""WITH o AS (SELECT *, 'Order ' || o_orderkey || ': launch on ' || strftime(o_orderdate, '%Y-%m-%d') || ' with Falcon 9, '
+          || CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'successful' ELSE 'as it seems' END || ' for customer ' || o_custkey AS item,
+          CASE WHEN o_orderdate > {T} THEN 'upcoming' ELSE 'success' END AS by_date FROM orders)
+    SELECT o_orderkey AS page_id, 'order-' || o_orderkey AS slug, 'Order ' || o_orderkey AS mission_name, o_orderdate AS launch_date,
+      CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority ELSE 'Falcon 9' END AS vehicle_type,
+      CASE o_orderstatus WHEN 'F' THEN 'failure' WHEN 'O' THEN 'success' ELSE by_date END AS status,
+      CASE WHEN o_orderkey % 6 = 0 THEN item END AS details FROM o
+    UNION ALL SELECT o_orderkey, 'second-order-' || o_orderkey, 'Second Order ' || o_orderkey, NULL, 'Dragon', 'upcoming',
+      'Second Order ' || o_orderkey || ': Dragon mission, its day is not known to anyone so far' FROM o""",
+)
+def order_wiki_records(spark, sf):
+    pages = spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS page_id", "'https://site.example/list' AS url", f"{_WIKI} AS html")
+    rows = PG.wiki_records(H.parse_pages(pages), _as_of())
+    return rows.select("page_id", "slug", "mission_name", F.col("launch_date").cast("timestamp_ntz").alias("launch_date"), "vehicle_type", "status", F.nullif("details", F.lit("")).alias("details"))
+
+
+# Cards whose name stands in a heading, in an element named for it, in a pattern, or in the first line.
+_NAMES = """concat('<div class="launch-card">', CASE o_orderkey % 6 WHEN 0 THEN concat('<span class="name">Not ', o_orderkey, '</span><h4>Head ', o_orderkey, '</h4>')
+    WHEN 1 THEN concat('<b class="the-title">Title ', o_orderkey, '</b><i class="name">Not this</i>') WHEN 2 THEN concat('<b class="name">Name ', o_orderkey, '</b>')
+    WHEN 3 THEN concat('<h2>ab</h2><b class="heading">Part ', o_orderkey, '</b>') WHEN 4 THEN concat('<p>It is Starlink-', o_orderkey, '. More words</p>')
+    ELSE concat('<p>Plain line ', o_orderkey, '\nand a second one</p>') END, '<p>some words to fill the card</p></div>')"""
+
+
+@query(
+    "card_name_fallbacks",
+    "X9 X1",
+    """WITH n AS (SELECT o_orderkey AS page_id, CASE o_orderkey % 6 WHEN 0 THEN 'Head ' || o_orderkey WHEN 1 THEN 'Title ' || o_orderkey
+        WHEN 2 THEN 'Name ' || o_orderkey WHEN 3 THEN 'Part ' || o_orderkey WHEN 4 THEN 'Starlink-' || o_orderkey ELSE 'Plain line ' || o_orderkey END AS mission_name FROM orders)
+    SELECT page_id, mission_name, replace(lower(mission_name), ' ', '-') AS slug FROM n""",
+)
+def card_name_fallbacks(spark, sf):
+    pages = spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS page_id", "'https://site.example/launches' AS url", f"{_NAMES} AS html")
+    return PG.card_records(H.parse_pages(pages), _as_of()).select("page_id", "mission_name", "slug")
+
+
 _KIT = """concat('ANY PRESS KIT\\n\\n  MISSION OVERVIEW \\nMission: Order ', o_orderkey, '\\nLaunch Date: ', date_format(o_orderdate, 'yyyy-MM-dd'),
     '\\nRocket: falcon', CASE WHEN o_orderkey % 2 = 0 THEN ' 9 B5' ELSE ' heavy' END, '\\nPayload: goods of ', o_custkey, '\\nPayload Mass: ',
     format_number(o_totalprice, 0), ' kg\\nTarget Orbit: LEO\\n\\nLAUNCH DETAILS\\n', repeat('Nothing labelled here. ', 6))"""
@@ -172,7 +217,7 @@ _KIT = """concat('ANY PRESS KIT\\n\\n  MISSION OVERVIEW \\nMission: Order ', o_o
       CASE WHEN o_orderdate < {T} THEN 'success' ELSE 'upcoming' END AS status, 'Payload: goods of ' || o_custkey || '; Orbit: LEO' AS details FROM orders""",
 )
 def order_kit_records(spark, sf):
-    docs = spread(table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey AS doc_id", f"{_KIT} AS text")
+    docs = spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS doc_id", f"{_KIT} AS text")
     rows = DO.document_records(docs, _as_of())
     return rows.select(
         "doc_id", "format", "slug", F.col("launch_date").cast("timestamp_ntz").alias("launch_date"), "vehicle_type", "payload_mass",
@@ -188,7 +233,7 @@ def order_kit_records(spark, sf):
 )
 def document_sections(spark, sf):
     # Every line break of a document becomes a page mark, so that its lines are its sections.
-    marked = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n--- Page 1 ---\n")).alias("text"))
+    marked = spread(table(spark, sf, "documents")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n--- Page 1 ---\n")).alias("text"))
     return DO.sections(marked).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("section")).alias("chars"))
 
 
@@ -203,7 +248,7 @@ _MENTIONS = [r"(licensed[\s\-]*[a-z]*)", r"(token[\s\-]*[a-z]*)", r"(th[aeiou]n[
     SELECT DISTINCT doc_id, regexp_replace(m, '^\s+|\s+$', '', 'g') AS mission_name FROM m""",
 )
 def document_mentions(spark, sf):
-    return DO.mentions(spread(table(spark, sf, "documents"), "doc_id"), patterns=_MENTIONS).select("doc_id", "mission_name")
+    return DO.mentions(spread(table(spark, sf, "documents")), patterns=_MENTIONS).select("doc_id", "mission_name")
 
 
 @query(

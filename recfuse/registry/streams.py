@@ -232,11 +232,18 @@ def source_fallback(spark, sf):
 
 @query(
     "source_bundle",
-    "S7 F6",
-    f"WITH {_UNION}, {_TWO_PASS.format('u')} SELECT slug, q AS ingest_seq FROM g WHERE r2 = 1",
+    "S7 F6 A17",
+    f"""WITH {_UNION}, {_TWO_PASS.format('u')} SELECT 'record' AS section, slug AS item, q::DOUBLE AS value FROM g WHERE r2 = 1
+    UNION ALL SELECT 'rows', CASE so WHEN 0 THEN 'spacex' WHEN 1 THEN 'nasa' ELSE 'wikipedia' END, count(*)::DOUBLE FROM u GROUP BY so
+    UNION ALL SELECT 'rows', 'all', count(*)::DOUBLE FROM u
+    UNION ALL SELECT 'quality', * FROM (VALUES ('SpaceX Official Website', 0.9::DOUBLE), ('NASA Official Website', 0.8::DOUBLE), ('Wikipedia', 0.7::DOUBLE))""",
 )
 def source_bundle(spark, sf):
-    return UN.bundle(_frames(spark, sf), F.current_timestamp()).records.select("slug", "ingest_seq")
+    """Records, rows per source, and the sources read, of one bundle."""
+    b = UN.bundle(_frames(spark, sf), F.current_timestamp())
+    part = lambda df, section, item, value: df.select(F.lit(section).alias("section"), F.col(item).alias("item"), F.col(value).cast("double").alias("value"))
+    rows = part(b.records, "record", "slug", "ingest_seq").unionByName(part(b.breakdown, "rows", "item", "n"))
+    return rows.unionByName(part(b.provenance, "quality", "source_name", "data_quality_score"))
 
 
 @query(

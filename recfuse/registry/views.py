@@ -54,7 +54,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims about parts from five pseudo-sources."""
     days = "datediff(l_shipdate, DATE '1990-01-01')"
     columns = [c.strip() for c in split_columns(_CLAIM_COLUMNS.format(text="STRING", days=days))]
-    return spread(table(spark, sf_dir, "lineitem"), "l_partkey").selectExpr(*columns)
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(*columns)
 
 
 def split_columns(columns: str) -> list[str]:

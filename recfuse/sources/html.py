@@ -114,6 +114,26 @@ def inside(e: Column) -> Column:
     return F.slice("els", e["n"] + 2, e["last"] - e["n"])
 
 
+def subtree(e: Column) -> Column:
+    """An element as a page of its own (raw, text, els): it and its descendants, places counted from it.
+
+    Elements are numbered in document order, so a subtree is a slice; its root is element 0.
+    """
+    moved = {"n": "n", "last": "n", "parent": "n", "s0": "s0", "r0": "r0"}
+    fields = [c.split(":")[0].strip() for c in ELEMENT.removeprefix("struct<").removesuffix(">").split(",")]
+
+    def rebased(d: Column) -> Column:
+        return F.struct(*[(d[c] - e[moved[c]] if c in moved else d[c]).alias(c) for c in fields])
+
+    els = F.transform(F.slice("els", e["n"] + 1, e["last"] - e["n"] + 1), rebased)
+    return F.struct(raw_of(e).alias("raw"), text_of(e).alias("text"), els.alias("els"))
+
+
+def root() -> Column:
+    """The root of a subtree whose columns are raw, text and els."""
+    return F.get("els", F.lit(0))
+
+
 def children(e: Column) -> Column:
     return F.filter(inside(e), lambda d: d["parent"] == e["n"])
 

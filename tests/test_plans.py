@@ -10,6 +10,7 @@ from recfuse.operators import fuse as FU
 from recfuse.operators import serve as SV
 from recfuse.operators import validate as VA
 from recfuse.registry.cleaning import raw_claims
+from recfuse.registry.load import QUERIES
 from recfuse.registry.views import launches
 from recfuse.schema import LAUNCH_PROFILE
 from recfuse.streaming import metrics as ME
@@ -46,6 +47,13 @@ def test_fusion_shuffles_once(valid):
     assert text.count("Exchange hashpartitioning") == 1 and "partial_min_by" in text and "Window" not in text
 
 
+def test_the_registered_fusion_combines_before_its_shuffle(spark):
+    """Claims are fused per task first; only candidates are shuffled by key."""
+    text = plan(QUERIES["fused_claims"].run(spark, SF_DIR))
+    # Plans are printed from the result down.
+    assert text.count("hashpartitioning") == 1 and text.index("hashpartitioning") < text.rindex("partial_min_by")
+
+
 def test_value_classes_use_hash_aggregation(valid):
     text = plan(CO.value_classes(valid, LAUNCH_PROFILE))
     assert "HashAggregate" in text and "SortAggregate" not in text and text.count("Exchange") == 1
