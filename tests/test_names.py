@@ -82,3 +82,37 @@ def test_spread_row_number(spark):
     for key in "ab":
         for n, (_, _, seq) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])), 1):
             assert got[key, seq] == n
+
+
+@pytest.mark.parametrize("looked_at", [0, 2000])
+def test_letters_and_inner_runs(spark, looked_at, monkeypatch):
+    """Contained names of any number of words, cut inside words at both ends, and empty ones; equal to the greedy scan."""
+    monkeypatch.setattr(NM, "PAIRS_PER_BLOCK_ROW", 0)
+    monkeypatch.setattr(NM, "LOOKED_AT_PER_BLOCK_ROW", looked_at)
+    rng = random.Random(5)
+    long = [" ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    parts = [n[i : i + rng.randrange(1, 25)] for n in long for i in [rng.randrange(len(n))]]
+    names = [*parts, *long, "é", "", "!!"]
+    rng.shuffle(names)
+    assert grouped(spark, names, min_pair_budget=0) == greedy(names)
+
+
+def test_blocks_stay_near_the_names(spark):
+    """Long names that share no run of words keep no row to be looked up in; each had one for every letter before."""
+    rng = random.Random(3)
+    names = [" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(names)), "seq long, name string")
+    NM.ensure_checkpoint_dir(spark)
+    needles, hay = NM.containment_blocks(NM.distinct_names(df, "name", "seq"))
+    assert needles.isEmpty() and hay.isEmpty()
+
+
+def test_unlike_names_of_a_block_are_not_listed(spark):
+    """A rare word in common is no candidate when the other words tell the names apart; all of a block were before."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
+    df = spark.createDataFrame([(i, " ".join(rng.sample(vocabulary, 20))) for i in range(50)], "seq long, name string")
+    NM.ensure_checkpoint_dir(spark)
+    blocks = NM._Blocks.of(NM.distinct_names(df, "name", "seq"), 0.7)
+    assert blocks.pair_count()[0] > 50
+    assert blocks.meet(blocks).isEmpty()
