@@ -2,12 +2,14 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from recfuse.operators import documents as DO
 from recfuse.operators import extract as E
 from recfuse.operators import pages as PG
+from recfuse.sources import html as H
 from recfuse.sources.html import parse_pages
 
 AS_OF = dt.datetime(2024, 6, 1)
@@ -140,3 +142,15 @@ def test_extended_dates(spark):
         E.first_date(F.lit("from August 19, 2021 onwards")).alias("iso"), E.first_date(F.lit("from August 19, 2021 onwards"), True).alias("ext")
     ).first()
     assert row.iso is None and row.ext == dt.datetime(2021, 8, 19)
+
+
+def test_pages_come_in_chunks(monkeypatch):
+    """A batch of many pages is tokenised a few at a time, with the same rows; it was held as a whole before."""
+    pages = [None, "", "<p>a<b>c</b></p>" * 4, "x" * 100, *["<ul><li>one</li></ul>"] * 9]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(pages))), "url": ["u"] * len(pages), "html": pages})
+    whole = [r for b in H._tokenise(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(H, "CHUNK_CHARS", 50)
+    found = list(H._tokenise(iter([batch])))
+    assert [r for b in found for r in b.to_pylist()] == whole
+    assert [r["page_id"] for r in whole] == list(range(len(pages)))
+    assert max(b.num_rows for b in found) <= 3
