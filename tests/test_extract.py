@@ -1,6 +1,7 @@
 """Extraction from page and document literals."""
 
 import datetime as dt
+import random
 
 import pyarrow as pa
 import pytest
@@ -154,3 +155,24 @@ def test_pages_come_in_chunks(monkeypatch):
     assert [r for b in found for r in b.to_pylist()] == whole
     assert [r["page_id"] for r in whole] == list(range(len(pages)))
     assert max(b.num_rows for b in found) <= 3
+
+
+def test_plain_pages_are_read_without_the_parser(monkeypatch):
+    """Pages of ordinary tags need no general parser, which all went through before; the elements are the same."""
+    rng = random.Random(2)
+    plain = ["<p>", "</p>", '<div class="a b">', "</div>", "<br>", '<A HREF="/q">', "</a>", "a &amp; b ", "\n", "<template>", "</template>", "<!DOCTYPE html>"]
+    odd = [*plain, "<br/>", "<!-- c -->", "<script>x<b></script>", "<title>a<b></title>", "<b y=1>", "<", "&lt", "<td", '<a href="x?a=1&amp;b">']
+    page = lambda parts: "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+
+    def read(html):
+        rows = []
+        return H._Elements(rows).read(html), rows
+
+    pages = [page(plain) for _ in range(300)]
+    mixed = [page(odd) for _ in range(1500)]
+    with monkeypatch.context() as m:
+        m.setattr(H._Elements, "_read_plain", lambda self, html: False)
+        want, mixed_want = [read(p) for p in pages], [read(p) for p in mixed]
+    assert [read(p) for p in mixed] == mixed_want
+    monkeypatch.setattr(H._Elements, "feed", None)
+    assert [read(p) for p in pages] == want
