@@ -16,6 +16,9 @@ three numbers.
 4. For each offset o of the string before the anchor, two suffixes hold the same string if their
    shared length is length - o at least and the o bytes before them are equal (by a 64-bit hash).
 
+Longer strings hold these anchors too, so one sort serves several lengths: ``digests`` also counts passages,
+repeated runs that are shorter than its ``cut`` but hold enough words (``PASSAGE``, ``PASSAGE_WORDS``).
+
 Null text counts as empty; texts shorter than that length lose nothing. Repeated rows are places of their
 own, so all bytes of a repeated text of that length or more go. Columns other than doc_id and text
 are ignored by ``spans`` and kept by ``remove``.
@@ -24,8 +27,8 @@ are ignored by ``spans`` and kept by ``remove``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recfuse.llm.common import dropped, pairs_of, stored, texts
-
+from recfuse.sources.snapshots import shuffles_released
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,9 @@ class Cut:
 
 
 CUT = Cut()
+#: Passages are runs of repeated strings of this length that hold so many words.
+PASSAGE = Cut(length=200, window=128)
+PASSAGE_WORDS = 50
 #: Suffixes in a run, and about as many as a receiving task merges.
 RUN = 60_000
 MERGED = 40_000
@@ -188,8 +194,8 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 _RUN = "part int, sizes binary, lengths binary, rests binary, left_sizes binary, lefts binary, counts binary, k1 binary, k2 binary, x binary"
 
 
-def _runs(rows: DataFrame, parts: int, cut: Cut) -> DataFrame:
-    """Sorted, front-coded runs of the suffixes at the places ``xs`` of each text, dealt by a hash of their first bytes."""
+def _runs(rows: DataFrame, parts: int, cut: Cut, longest: int) -> DataFrame:
+    """Sorted, front-coded runs of the suffixes (``longest`` bytes) at the places ``xs`` of each text, dealt by a hash of their first bytes."""
 
     def coded(found: list[tuple[bytes, bytes, int, int, int]]) -> Iterator[tuple]:
         from xxhash import xxh3_64_intdigest
@@ -229,7 +235,7 @@ def _runs(rows: DataFrame, parts: int, cut: Cut) -> DataFrame:
             for a, b, text, xs in zip(k1, k2, rows, places, strict=True):
                 raw = text.encode()
                 for x in xs:
-                    found.append((raw[x : x + cut.length], raw[max(0, x - cut.window + 1) : x], a, b, x))
+                    found.append((raw[x : x + longest], raw[max(0, x - cut.window + 1) : x], a, b, x))
                 if len(found) >= RUN:
                     yield batch_of(found)
                     found = []
@@ -274,8 +280,8 @@ def repeated_offsets(known: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, le
     return out
 
 
-def _merged(runs: DataFrame, cut: Cut) -> DataFrame:
-    """Spans _k1, _k2, a, b (end exclusive) whose bytes go."""
+def _merged(runs: DataFrame, cut: Cut, lengths: Sequence[int]) -> DataFrame:
+    """Spans _k1, _k2, length, a, b (end exclusive) that repeated strings of each length cover."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         decoded = [(row, *_decoded(row, cut)) for row in group.itertuples(index=False)]
@@ -286,42 +292,50 @@ def _merged(runs: DataFrame, cut: Cut) -> DataFrame:
         sizes = np.concatenate([np.frombuffer(d[0].sizes, np.int32) for d in decoded])[at]
         counts = np.concatenate([np.frombuffer(d[0].counts, np.int32) for d in decoded])
         lefts, left_sizes = np.concatenate([d[3] for d in decoded])[at], np.concatenate([d[4] for d in decoded])[at]
-        found = repeated_offsets(known, sizes, lefts, left_sizes, counts[at] == 1, cut)
-        edges = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
-        (entry, low), (_, high) = np.nonzero(edges == 1), np.nonzero(edges == -1)
         firsts = np.concatenate([[0], np.cumsum(counts)])
         k1, k2, x = (np.concatenate([np.frombuffer(d[0][c], np.int64) for d in decoded]) for c in (7, 8, 9))
-        where = at[entry]
-        copies = counts[where]
-        member = np.repeat(firsts[where] - np.concatenate([[0], np.cumsum(copies)[:-1]]), copies) + np.arange(copies.sum())
-        return pd.DataFrame(
-            {
-                "_k1": k1[member],
-                "_k2": k2[member],
-                "a": x[member] - np.repeat(high - 1, copies),
-                "b": x[member] - np.repeat(low, copies) + cut.length,
-            }
-        )
-
-    return runs.groupBy("part").applyInPandas(merge, "_k1 long, _k2 long, a long, b long")
-
-
-def _spans(docs: DataFrame, cut: Cut) -> DataFrame:
-    """_k1, _k2, spans array<struct<a,b>> of the rows that lose something. docs: keyed, text not null."""
+        out = []
+        for length in lengths:
+            found = repeated_offsets(known, sizes, lefts, left_sizes, counts[at] == 1, replace(cut, length=length))
+            edges = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
+            (entry, low), (_, high) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+            where = at[entry]
+            copies = counts[where]
+            member = np.repeat(firsts[where] - np.concatenate([[0], np.cumsum(copies)[:-1]]), copies) + np.arange(copies.sum())
+            out.append(
+                pd.DataFrame(
+                    {
+                        "_k1": k1[member],
+                        "_k2": k2[member],
+                        "length": np.full(len(member), length, np.int32),
+                        "a": x[member] - np.repeat(high - 1, copies),
+                        "b": x[member] - np.repeat(low, copies) + length,
+                    }
+                )
+            )
+        return pd.concat(out)
+
+    return runs.groupBy("part").applyInPandas(merge, "_k1 long, _k2 long, length int, a long, b long")
+
+
+def _spans(docs: DataFrame, cut: Cut, lengths: Sequence[int]) -> DataFrame:
+    """_k1, _k2, spans array<struct<length,a,b>> of the rows with repeated strings. docs: keyed, text not null; lengths: that of ``cut`` or more."""
     spark = docs.sparkSession
     anchors = stored(_anchors(docs, cut), "anchors")
     again = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    kept = stored(anchors.join(again, "h", "left_semi").groupBy(*_KEYS).agg(F.collect_list("x").alias("xs")), "anchors-again")
+    with shuffles_released(spark):
+        kept = stored(anchors.join(again, "h", "left_semi").groupBy(*_KEYS).agg(F.collect_list("x").alias("xs")), "anchors-again")
     dropped(anchors)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (kept.agg(F.sum(F.size("xs"))).first()[0] or 0) // MERGED)
-    runs = _runs(docs.select(*_KEYS, "text").join(kept, list(_KEYS)), parts, cut)
-    return _merged(runs, cut).groupBy(*_KEYS).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # All columns of docs come along: where the caller joins the same frame to the spans, Spark shuffles the texts once.
+    runs = _runs(docs.join(kept, list(_KEYS)), parts, cut, max(lengths))
+    return _merged(runs, cut, lengths).groupBy(*_KEYS).agg(F.collect_list(F.struct("length", "a", "b")).alias("spans"))
 
 
-def united(spans, n: int) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
+def united(spans, n: int, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that repeated strings of this length cover."""
     out: list[list[int]] = []
-    for a, b in sorted((s["a"], min(s["b"], n)) for s in ([] if spans is None else spans)):
+    for a, b in sorted((s["a"], min(s["b"], n)) for s in ([] if spans is None else spans) if s["length"] == length):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -329,13 +343,25 @@ def united(spans, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _bytes(spans: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in spans)
+
+
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     edges = [0, *(e for s in spans for e in s), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digests(docs: DataFrame, cut: Cut = CUT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def _worded(raw: bytes, runs: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The runs with that many words (stretches without ASCII white space) or more."""
+    return [(a, b) for a, b in runs if len(raw[a:b].split()) >= words]
+
+
+def digests(docs: DataFrame, cut: Cut = CUT, passage: Cut = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, then n_passages and n_passage_bytes.
+
+    Passages are the runs that ``remove(docs, passage, words)`` takes out; they leave the other columns as they are.
+    """
     keyed = _keyed(texts(docs))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -343,13 +369,18 @@ def digests(docs: DataFrame, cut: Cut = CUT) -> DataFrame:
             out = []
             for key, text, spans in zip(keys, rows, found, strict=True):
                 raw = text.encode()
-                runs = united(spans, len(raw))
-                out.append((key, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
+                runs = united(spans, len(raw), cut.length)
+                passages = _worded(raw, united(spans, len(raw), passage.length), words)
+                out.append((key, len(raw), _bytes(runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest(), len(passages), _bytes(passages)))
             columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    joined = keyed.join(_spans(keyed, cut), list(_KEYS), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
+    kinds = [pa.string() if n == "kept_sha256" else pa.int64() for n in names]
+    shorter = min(cut, passage, key=lambda c: c.length)
+    spans = _spans(keyed, shorter, sorted({cut.length, passage.length}))
+    joined = keyed.join(spans, list(_KEYS), "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names))
 
 
 def remove(docs: DataFrame, cut: Cut = CUT, words: int = 0) -> DataFrame:
@@ -358,13 +389,13 @@ def remove(docs: DataFrame, cut: Cut = CUT, words: int = 0) -> DataFrame:
     Runs of removable bytes with fewer than ``words`` words (stretches without ASCII white space) stay.
     """
     keyed = _keyed(docs)
-    spans = _spans(keyed.select(*_KEYS, F.coalesce(F.col("text"), F.lit("")).alias("text")), cut)
+    spans = _spans(keyed.select(*_KEYS, F.coalesce(F.col("text"), F.lit("")).alias("text")), cut, [cut.length])
 
     @F.pandas_udf("string")
     def left(column: pd.Series, found: pd.Series) -> pd.Series:
         def one(text, spans):
             raw = (text or "").encode()
-            return _kept(raw, [(a, b) for a, b in united(spans, len(raw)) if len(raw[a:b].split()) >= words]).decode("utf-8", "ignore")
+            return _kept(raw, _worded(raw, united(spans, len(raw), cut.length), words)).decode("utf-8", "ignore")
 
         return pd.Series([one(t, s) for t, s in zip(column, found, strict=True)], dtype=object)
 
