@@ -6,12 +6,14 @@ found or follows from others; pairs inside a class are not listed.
 
 1. Documents with equal sets become one node.
 2. Two linked nodes share one of their first n - ceil(0.8 n) + 1 shingles in any common order. The
-   order puts shingles that tasks meet often last, so shared passages seldom bring documents together.
-   The order changes only the work: the list of frequent shingles has a fixed bound.
-3. In each group of a shared shingle, every node is paired with the least one (frequent shingles
-   salted, then joined by the least of each salt): a number of pairs linear in the rows. These are
-   verified and give first classes.
-4. Nodes that a chain of shared shingles joins but verified pairs don't are indexed by the counts of
+   order puts shingles that tasks meet often last, the most often met at the end, so shared passages
+   seldom bring documents together. The order changes only the work: the list of frequent shingles
+   has a fixed bound.
+3. In each group of a shared shingle of up to GROUP nodes all pairs are listed that sizes and the
+   places of the shingle allow; in a larger one every node is paired with the least one (frequent
+   shingles salted, then joined by the least of each salt): a number of pairs linear in the rows.
+   These are verified and give first classes; a small group is settled with them.
+4. Nodes that a chain of large groups joins but verified pairs don't are indexed by the counts of
    their shingles in hash groups. Pages of nodes, ordered by size, form the leaves of an R-tree: the
    overlap of a query with anything below a box is at most the sum of the minima of the query's
    counts and the box's upper corner. Pages whose sizes can't match never meet; pairs in one class
@@ -33,6 +35,7 @@ ignored by ``classes`` and kept by ``keep_first``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +47,16 @@ from recfuse.llm.components import components, extended
 
 NGRAM = 5
 PERCENT = 80
-#: Bound on the list of frequent shingles (8 bytes each).
-FREQUENT = 1 << 18
+#: Bound on the list of frequent shingles (9 bytes each).
+FREQUENT = 1 << 20
 #: Shingles a task counts together, and how often it must meet one.
 COUNTED = 4_000_000
 MET = 2
 SALTS = 32
+#: Nodes of a shared shingle that all meet each other.
+GROUP = 64
+#: Steps of a doubling in which counts of frequent shingles are told apart.
+STEPS = 4
 LEAST_DIMENSIONS, MOST_DIMENSIONS, FINE_DIMENSIONS = 64, 2048, 8192
 #: Shingles that fill a page of whole sets, how many times as many fill one of points, and how many more each node counts.
 PAGE, OF_POINTS, ROW = 1 << 18, 8, 256
@@ -78,18 +85,29 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent shingles, sorted, and how often each is met, in steps of a doubling."""
+
+    shingle: np.ndarray
+    level: np.ndarray
+
+
+def prefix(found: np.ndarray, frequent: Frequent) -> np.ndarray:
     """The first shingles in the common order; the lowest bit says whether a shingle is frequent."""
     n = len(found)
     if not n:
         return found
-    at = np.searchsorted(frequent, found)
-    often = np.zeros(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == found
-    keys = np.concatenate([found[~often] & ~np.uint64(1), found[often] | np.uint64(1)])
-    return keys[: n - (PERCENT * n + 99) // 100 + 1]
+    level = np.zeros(n, np.uint8)
+    if len(frequent.shingle):
+        at = np.minimum(np.searchsorted(frequent.shingle, found), len(frequent.shingle) - 1)
+        often = frequent.shingle[at] == found
+        level[often] = frequent.level[at[often]]
+    keys = np.where(level > 0, found | np.uint64(1), found & ~np.uint64(1))
+    return keys[np.argsort(level, kind="stable")[: n - (PERCENT * n + 99) // 100 + 1]]
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
+def _frequent(docs: DataFrame) -> Frequent:
     """Shingles that tasks met several times together, over all documents; no more than FREQUENT of the most frequent."""
 
     def counted(kept: list[np.ndarray]) -> pa.RecordBatch:
@@ -109,19 +127,27 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if kept:
             yield counted(kept)
 
+    def packed(batches) -> Iterator[pa.RecordBatch]:
+        # Two values of a task, not a row for each shingle.
+        kept = [(b.column("s").to_numpy().tobytes(), b.column("level").to_numpy().astype(np.uint8).tobytes()) for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(x[k] for x in kept)], pa.binary()) for k in (0, 1)], ["s", "level"])
+
     met = texts(docs).select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    met = stored(met, "met")
+    met = stored_met = stored(met, "met")
     # How many shingles are met how often, the often met first; up to the bound.
-    of = met.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()
-    least, total = 1 << 62, 0
+    met = met.select("s", F.floor(F.log2("n") * STEPS).cast("short").alias("level"))
+    of = met.groupBy("level").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("level")).collect()
+    least, total = 1 << 14, 0
     for row in of:
         total += row["c"]
         if total > FREQUENT:
             break
-        least = row["n"]
-    rows = met.where(F.col("n") >= least).select("s").toPandas()
-    dropped(met)
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+        least = row["level"]
+    rows = met.where(F.col("level") >= least).mapInArrow(packed, "s binary, level binary").collect()
+    dropped(stored_met)
+    found, level = np.frombuffer(b"".join(r["s"] for r in rows), np.uint64), np.frombuffer(b"".join(r["level"] for r in rows), np.uint8)
+    order = np.argsort(found)
+    return Frequent(found[order], level[order])
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -147,16 +173,26 @@ def _signed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, n long, d1 long, d2 long, keys array<long>, point binary")
 
 
-def _links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a, b: each node with the least node of each of its groups; linear in the rows. And the stored table behind them."""
-    rows = nodes.select(F.explode("keys").alias("key"), "node")
+def _links(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs a, b: those of small groups that sizes and places allow, and each node of a large group with the least one; linear in the rows. And the stored table behind them."""
+    rows = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     rows = rows.withColumn("salt", F.when(F.col("key") % 2 == 0, 0).otherwise(F.pmod("node", F.lit(SALTS))).cast("int"))
-    led = rows.withColumn("b", F.min("node").over(Window.partitionBy("key", "salt")))
-    # A frequent shingle's leaders, at most one per salt, go on to the second step.
-    led = stored(led.where((F.col("node") != F.col("b")) | (F.col("key") % 2 != 0)).select("key", "node", "b"), "led")
-    heads = led.where((F.col("node") == F.col("b")) & (F.col("key") % 2 != 0)).select("key", "node")
-    heads = heads.select("node", F.min("node").over(Window.partitionBy("key")).alias("b"))
-    return led.select("node", "b").union(heads).where("node <> b").distinct().select(F.col("node").alias("a"), "b"), led
+    own = Window.partitionBy("key", "salt")
+    led = rows.withColumns({"b": F.min("node").over(own), "size": F.count(F.lit(1)).over(own)})
+    # Frequent shingles are counted on over their salts.
+    led = stored(led.where((F.col("size") > 1) | (F.col("key") % 2 != 0)).select("key", "node", "n", "at", "b", "size"), "led")
+    rare, often = led.where(F.col("key") % 2 == 0), led.where(F.col("key") % 2 != 0)
+    heads = often.where("node = b").groupBy("key").agg(F.sum("size").alias("total"), F.min("b").alias("least"))
+    often = often.join(heads, "key")
+    small = rare.where(F.col("size") <= GROUP).union(often.where(F.col("total").between(2, GROUP)).select(rare.columns))
+    one, other = (small.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at"))) for k in (1, 2))
+    # So many shingles can be shared if this one is the first shared one; the one that is lets its pair pass.
+    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    pairs = one.join(other, "key").where((F.col("node1") > F.col("node2")) & (100 * left >= PERCENT * (F.col("n1") + F.col("n2") - left)))
+    large = often.where(F.col("total") > GROUP)
+    heads = large.where("node = b").select("node", F.col("least").alias("b"))
+    star = rare.where(F.col("size") > GROUP).select("node", "b").union(large.select("node", "b")).union(heads).where("node <> b")
+    return pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), star.distinct().select(F.col("node").alias("a"), "b"), led
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -359,8 +395,9 @@ def _classed(state: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest(links: DataFrame, sure: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: verified pairs that join the classes (sure: node, root) which the pairs verified first leave apart."""
-    left = _classed(extended(sure, links).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), sure)
+    """a, b: verified pairs that join the classes (sure: node, root) which the pairs verified first leave apart; links join what may be."""
+    chains = stored(components(links), "chains")
+    left = _classed(chains.withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), sure)
     placed = _paged(left, times=OF_POINTS).withColumn("main", F.lit(False)).join(nodes.select("node", "point"), "node")
     linkable = stored(_forests(placed, "point", "true"), "linkable")
     short = stored(components(linkable).withColumnRenamed("root", "chain").join(nodes.select("node", "n"), "node"), "short")
@@ -386,13 +423,13 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(row).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"))
     found = found.withColumn("first_id", F.coalesce("first.doc_id", F.lit(_NONE))).withColumn("first_hash", F.col("first.hash"))
     nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links, led = _links(nodes.select("node", "keys"))
-    links = stored(links, "links")
+    pairs, links, led = _links(nodes.select("node", "n", "keys"))
+    pairs, links = stored(pairs, "listed"), stored(links, "links")
     dropped(led)
-    sure = stored(components(_verified(_possible(links, nodes), docs, nodes)), "sure")
+    sure = stored(components(_verified(_possible(pairs.union(links).distinct(), nodes), docs, nodes)), "sure")
     more = stored(_rest(links, sure, docs, nodes), "more")
     roots = stored(extended(sure, more), "roots")
-    dropped(links, sure, more)
+    dropped(pairs, links, sure, more)
     named = nodes.select("d1", "d2", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("first"))
     return signed, named.select("d1", "d2", "root").join(least, "root")

@@ -240,6 +240,34 @@ def test_ngram_join_over_several_pages(spark, monkeypatch):
     assert len({c for _, (_, c) in brute_classes(rows)}) > 2
 
 
+@pytest.mark.parametrize("group", [1, 8])
+def test_ngram_join_over_large_groups(spark, small, rows, monkeypatch, group):
+    """Groups that are not listed go through chains and pages, frequent shingles or not."""
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    assert collected(ngram_join.classes(small), "n_shingles", "component_id") == brute_classes(rows)
+
+
+def test_shared_passages_make_no_chain_of_unlike_texts(spark, monkeypatch):
+    """Texts that each share a passage with the next one were one chain, whose pages all met: work with the square of the texts."""
+    placed = []
+    forests = ngram_join._forests
+    monkeypatch.setattr(ngram_join, "_forests", lambda state, *more: placed.append(state.count()) or forests(state, *more))
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [{"doc_id": i, "text": f"{line(f'p{i}x', 30)} {line(f'q{i}x', 20)} {line(f'p{i + 1}x', 30)}"} for i in range(60)]
+    rows.append({"doc_id": 99, "text": rows[7]["text"] + " more"})
+    got = ngram_join.classes(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string"))
+    assert collected(got, "n_shingles", "component_id") == brute_classes(rows)
+    assert sum(placed) == 0
+
+
+def test_prefix_takes_the_least_met_first():
+    """Of the frequent shingles the rarer ones come first; a fixed order of hashes took any of them before."""
+    found = np.arange(2, 202, 2).astype(np.uint64)
+    frequent = ngram_join.Frequent(found[:95], np.r_[np.full(80, 9), np.full(15, 4)].astype(np.uint8))
+    assert ngram_join.prefix(found, frequent).tolist() == [*found[95:].tolist(), *(found[80:95] | np.uint64(1)).tolist(), int(found[0]) | 1]
+    assert ngram_join.prefix(found[:0], frequent).tolist() == []
+
+
 def test_forest_joins_what_surviving_pairs_join():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 60, 90).astype(np.uint64)) for _ in range(12)]
