@@ -116,3 +116,18 @@ def test_unlike_names_of_a_block_are_not_listed(spark):
     blocks = NM._Blocks.of(NM.distinct_names(df, "name", "seq"), 0.7)
     assert blocks.pair_count()[0] > 50
     assert blocks.meet(blocks).isEmpty()
+
+
+def test_no_function_of_arrays_per_word(spark):
+    """Runs, seams and letters are hashed in compiled rows; each word of a name called functions of its array before."""
+    names = NM.distinct_names(spark.createDataFrame([(1, "one two three four"), (2, "a"), (3, "two three")], "seq long, name string"), "name", "seq")
+    wanted = spark.createDataFrame([(1,)], "block long")
+    for kinds in ({"3"}, {"1", "2"}, {"1", "seam"}):
+        plan = NM.hay_blocks(names.localCheckpoint(), wanted, kinds)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and "Generate explode" in plan
+
+
+def test_letters_are_looked_up_in_words(spark):
+    """Names of one and two letters, of any alphabet, meet every name with a word that holds them."""
+    names = ["o", "é", "ab", "b", "x y", "One two", "caféa abc", "xab cd", "zz yy", "ßb", ""]
+    assert grouped(spark, names) == greedy(names)
