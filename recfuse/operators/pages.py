@@ -74,13 +74,13 @@ CARD_STRATEGIES: list[Callable[[], Column]] = [
 
 
 def _first_text(found: Column, longer_than: int) -> Column:
-    texts = F.filter(F.transform(found, H.text_of), lambda t: F.length(t) > longer_than)
+    texts = F.filter(F.transform(found, lambda e: H.text_of(e, H.root())), lambda t: F.length(t) > longer_than)
     return H.first(texts)
 
 
 def _select_one_text(scope: Column, selector: Selector, longer_than: int) -> Column:
     """Text of the first match of a selector, if long enough; later matches do not count."""
-    found = H.text_of(H.first(F.filter(scope, selector)))
+    found = H.text_of(H.first(F.filter(scope, selector)), H.root())
     return let(found, lambda t: F.when(F.length(t) > longer_than, t))
 
 
@@ -105,7 +105,7 @@ def _patch(scope: Column, site: Column) -> Column:
 def _webcast(scope: Column, site: Column) -> Column:
     links = F.filter(scope, lambda a: H.tagged("a")(a) & F.coalesce(a["href"] != "", F.lit(False)))
     hosts = "|".join(h.replace(".", r"\.") for h in C.VIDEO_HOSTS)
-    by_text = lambda a: X.contains_any(H.raw_of(a), C.WEBCAST_KEYWORDS)
+    by_text = lambda a: X.contains_any(H.raw_of(a, H.root()), C.WEBCAST_KEYWORDS)
     hit = H.first(F.filter(links, lambda a: by_text(a) | F.rlike(a["href"], F.lit(hosts))))
     return let(hit, lambda a: F.when(by_text(a), E.absolute(a["href"], site)).otherwise(a["href"]))
 
@@ -131,7 +131,7 @@ def card_records(pages: DataFrame, as_of: Column, extended_dates: bool = False)
     cards = pages.select("page_id", "url", F.explode(F.transform(_cards(CARD_STRATEGIES), own)).alias("c"))
     cards = cards.select("page_id", "url", "c.strategy", "c.position", "c.page.*")
     e, t = H.root(), F.col("card_text")
-    scope = H.inside(e)
+    scope = H.inside(e, e)
     site = E.site_of("url")
     name = F.coalesce(
         _first_text(F.filter(scope, H.tagged(*HEADINGS)), 3),
@@ -146,7 +146,7 @@ def card_records(pages: DataFrame, as_of: Column, extended_dates: bool = False)
         ],
         E.middle_lines(t),
     )
-    found = pin(cards, "card_text", H.text_of(e)).filter(F.length("card_text") >= 10)
+    found = pin(cards, "card_text", H.text_of(e, e)).filter(F.length("card_text") >= 10)
     rows = _record(
         found,
         {
@@ -192,10 +192,10 @@ def news_records(
         F.explode(F.transform(F.when(is_search, se).otherwise(mentioned), own)).alias("i"),
     ).select("page_id", "url", "strategy", "i.position", "i.page.*")
     e, t = H.root(), F.col("item_text")
-    scope = H.inside(e)
+    scope = H.inside(e, e)
     titles = lambda found: H.first(
         F.filter(
-            F.transform(F.filter(F.transform(found, H.text_of), lambda s: F.length(s) > 5), E.clean_title),
+            F.transform(F.filter(F.transform(found, lambda d: H.text_of(d, e)), lambda s: F.length(s) > 5), E.clean_title),
             lambda s: F.coalesce(s != "", F.lit(False)),
         )
     )
@@ -206,7 +206,7 @@ def news_records(
         X.strip(X.first_match(t, C.MISSION_PATTERNS["news"], flags=E.FLAGS)),
     )
     details = F.coalesce(F.substring(_first_text(F.filter(scope, H.tagged("p")), 50), 1, 500), E.first_sentences(t))
-    found = pin(items, "item_text", H.text_of(e)).filter(F.length("item_text") >= 20)
+    found = pin(items, "item_text", H.text_of(e, e)).filter(F.length("item_text") >= 20)
     rows = _record(
         found,
         {
@@ -228,19 +228,34 @@ def news_records(
     return rows.filter(X.contains_any(about, list(keywords)))
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """Rows of record-like tables: (page_id, url, table_no, row_no, cells, roles).
+TABLES, LISTS = 0, 1
 
-    ``roles`` maps a column role to its position; the later of two columns with one role wins.
-    Rows with fewer cells than the last role's column are dropped.
-    """
+
+def _tables() -> Column:
+    """Record-like tables of a page, each with its own subtree."""
     is_table = lambda e: H.tagged("table")(e) & (H.class_is("wikitable")(e) | H.class_is("sortable")(e))
-    tables = pages.select("page_id", "url", F.posexplode(F.transform(F.filter("els", is_table), H.subtree)).alias("table_no", "t"))
-    tables = tables.select("page_id", "url", "table_no", "t.*")
+    own = lambda e, i: F.struct(F.lit(TABLES).alias("kind"), i.alias("no"), H.subtree(e).alias("page"))
+    return F.transform(F.filter("els", is_table), own)
+
+
+def _items(keywords: Sequence[str]) -> Column:
+    """Items of the lists that mention a keyword; of an item, only its text counts."""
+    lists = F.filter("els", lambda e: H.tagged("ul", "ol")(e) & X.contains_any(H.raw_of(e), list(keywords)))
+    items = F.flatten(F.transform(lists, lambda e: F.filter(H.inside(e), H.tagged("li"))))
+    text = lambda e: F.struct(F.lit("").alias("raw"), H.text_of(e).alias("text"), F.slice("els", 1, 0).alias("els"))
+    return F.transform(items, lambda e: F.struct(F.lit(LISTS).alias("kind"), e["n"].alias("no"), text(e).alias("page")))
+
+
+def _rows(pages: DataFrame, *scopes: Column) -> DataFrame:
+    """Rows of the tables and lists: (page_id, url, kind, no, row_no, roles, cells, item_text); a list item is one row."""
+    listed = F.col("kind") == LISTS
+    found = pages.select("page_id", "url", F.explode(F.concat(*scopes)).alias("s")).select("page_id", "url", "s.kind", "s.no", "s.page.*")
     t = H.root()
-    cells = lambda r, *tags: F.filter(H.inside(r), H.tagged(*tags))
-    likely = tables.filter(E.indicator_count(H.raw_of(t)) >= 3).withColumn("trs", F.filter(H.inside(t), H.tagged("tr")))
-    headed = likely.withColumn("heads", F.transform(cells(H.first(F.col("trs")), "th", "td"), lambda h: E.header_role(H.text_of(h))))
+    item = (F.length("text") >= 20) & ~F.col("text").startswith(":")
+    likely = found.filter(F.when(listed, item).otherwise(E.indicator_count(F.col("raw")) >= 3))
+    likely = likely.withColumn("trs", F.filter(H.inside(t, t), H.tagged("tr")))
+    cells = lambda r, *tags: F.filter(H.inside(r, t), H.tagged(*tags))
+    headed = likely.withColumn("heads", F.transform(cells(H.first(F.col("trs")), "th", "td"), lambda h: E.header_role(H.text_of(h, t))))
     named = F.filter(
         F.transform("heads", lambda role, i: F.struct(role.alias("role"), i.alias("at"))), lambda s: s["role"].isNotNull()
     )
@@ -250,21 +265,30 @@ def table_rows(pages: DataFrame) -> DataFrame:
         "roles", F.map_from_entries(F.filter("named", lambda s: last_of(F.col("named"), s)))
     )
     below = F.slice("trs", F.lit(2), F.greatest(F.size("trs") - 1, F.lit(0)))
-    rows = roled.filter(F.size("named") > 0).select(
-        "page_id", "url", "table_no", "roles", F.posexplode(F.transform(below, H.subtree)).alias("row_no", "tr")
+    own = lambda r: F.struct(H.text_of(r, t).alias("text"), r["s0"].alias("s0"), cells(r, "td", "th").alias("els"))
+    one = F.array(F.struct(F.col("text"), F.lit(0).alias("s0"), F.col("els")))
+    rows = roled.filter(listed | (F.size("named") > 0)).select(
+        "page_id", "url", "kind", "no", "roles", F.posexplode(F.when(listed, one).otherwise(F.transform(below, own))).alias("row_no", "r")
     )
-    rows = rows.select("page_id", "url", "table_no", "roles", "row_no", "tr.*")
-    texts = F.transform(cells(H.root(), "td", "th"), lambda c: E.cell_text(H.text_of(c)))
+    rows = rows.select("page_id", "url", "kind", "no", "roles", "row_no", "r.*")
+    texts = F.transform("els", lambda c: E.cell_text(F.substring("text", c["s0"] - F.col("s0") + 1, c["sn"])))
     return (
         pin(rows, "cells", texts)
-        .filter(F.size("cells") >= F.array_max(F.map_values("roles")) + 1)
-        .select("page_id", "url", "table_no", "row_no", "roles", "cells")
+        .filter(listed | (F.size("cells") >= F.array_max(F.map_values("roles")) + 1))
+        .select("page_id", "url", "kind", "no", "row_no", "roles", "cells", F.col("text").alias("item_text"))
     )
 
 
-def table_records(pages: DataFrame, as_of: Column, extended_dates: bool = False) -> DataFrame:
-    rows = table_rows(pages)
+def table_rows(pages: DataFrame) -> DataFrame:
+    """Rows of record-like tables: (page_id, url, table_no, row_no, cells, roles).
+
+    ``roles`` maps a column role to its position; the later of two columns with one role wins.
+    Rows with fewer cells than the last role's column are dropped.
+    """
+    return _rows(pages, _tables()).select("page_id", "url", F.col("no").alias("table_no"), "row_no", "roles", "cells")
 
+
+def _table_fields(as_of: Column, extended_dates: bool) -> dict[str, Column]:
     def cell(role: str) -> Column:
         at = F.try_element_at("roles", F.lit(role))
         return F.when(at.isNotNull(), F.get("cells", at))
@@ -275,57 +299,53 @@ def table_records(pages: DataFrame, as_of: Column, extended_dates: bool = False)
     state = F.when(outcome.isNull(), E.status_from_date(F.col("launch_date"), as_of)).otherwise(
         E.status(outcome, "table", F.col("launch_date"), as_of)
     )
-    return _record(
-        rows,
-        {
-            "mission_name": cell("mission"),
-            "slug": X.page_slug("mission_name", "wiki-mission"),
-            "launch_date": date,
-            "vehicle_type": cell("vehicle"),
-            "payload_mass": E.mass_kg(cell("mass"), unitless_is_kg=True),
-            "orbit": cell("orbit"),
-            "status": F.when(has_outcome, state).otherwise("upcoming"),
-            "details": cell("payload"),
-            "mission_patch_url": F.lit(None).cast("string"),
-            "webcast_url": F.lit(None).cast("string"),
-            "strategy": F.col("table_no"),
-            "position": F.col("row_no"),
-        },
-        RECORD,
-    )
+    return {
+        "mission_name": cell("mission"),
+        "slug": X.page_slug("mission_name", "wiki-mission"),
+        "launch_date": date,
+        "vehicle_type": cell("vehicle"),
+        "payload_mass": E.mass_kg(cell("mass"), unitless_is_kg=True),
+        "orbit": cell("orbit"),
+        "status": F.when(has_outcome, state).otherwise("upcoming"),
+        "details": cell("payload"),
+        "mission_patch_url": F.lit(None).cast("string"),
+        "webcast_url": F.lit(None).cast("string"),
+        "strategy": F.col("no"),
+        "position": F.col("row_no"),
+    }
+
+
+def _list_fields(as_of: Column, extended_dates: bool) -> dict[str, Column]:
+    t = F.col("item_text")
+    return {
+        "mission_name": X.strip(F.substring_index(t, ":", 1)),
+        "slug": X.page_slug("mission_name", "wiki-mission"),
+        "launch_date": E.first_date(t, extended_dates, bounded=False),
+        "vehicle_type": E.vehicle(t, "list"),
+        "payload_mass": F.lit(None).cast("double"),
+        "orbit": F.lit(None).cast("string"),
+        "status": E.status(t, "list", F.col("launch_date"), as_of),
+        "details": F.when(F.length(t) > 50, F.substring(t, 1, 500)),
+        "mission_patch_url": F.lit(None).cast("string"),
+        "webcast_url": F.lit(None).cast("string"),
+        "strategy": F.lit(0),
+        "position": F.col("no"),
+    }
+
+
+def table_records(pages: DataFrame, as_of: Column, extended_dates: bool = False) -> DataFrame:
+    return _record(_rows(pages, _tables()), _table_fields(as_of, extended_dates), RECORD)
 
 
 def list_records(pages: DataFrame, as_of: Column, keywords: Sequence[str] = tuple(C.LIST_KEYWORDS), extended_dates: bool = False) -> DataFrame:
     """Records from items of lists that mention a keyword; the name is the text before the colon."""
-    lists = F.filter("els", lambda e: H.tagged("ul", "ol")(e) & X.contains_any(H.raw_of(e), list(keywords)))
-    items = F.flatten(F.transform(lists, lambda e: F.filter(H.inside(e), H.tagged("li"))))
-    # Of an item, only its text counts.
-    own = F.transform(items, lambda e: F.struct(e["n"].alias("position"), H.text_of(e).alias("text")))
-    exploded = pages.select("page_id", "url", F.explode(own).alias("i")).select("page_id", "url", "i.position", F.col("i.text").alias("item_text"))
-    rows = exploded.filter((F.length("item_text") >= 20) & ~F.col("item_text").startswith(":"))
-    t = F.col("item_text")
-    return _record(
-        rows,
-        {
-            "mission_name": X.strip(F.substring_index(t, ":", 1)),
-            "slug": X.page_slug("mission_name", "wiki-mission"),
-            "launch_date": E.first_date(t, extended_dates, bounded=False),
-            "vehicle_type": E.vehicle(t, "list"),
-            "payload_mass": F.lit(None).cast("double"),
-            "orbit": F.lit(None).cast("string"),
-            "status": E.status(t, "list", F.col("launch_date"), as_of),
-            "details": F.when(F.length(t) > 50, F.substring(t, 1, 500)),
-            "mission_patch_url": F.lit(None).cast("string"),
-            "webcast_url": F.lit(None).cast("string"),
-            "strategy": F.lit(0),
-            "position": F.col("position"),
-        },
-        RECORD,
-    )
+    return _record(_rows(pages, _items(keywords)), _list_fields(as_of, extended_dates), RECORD)
 
 
 def wiki_records(pages: DataFrame, as_of: Column, extended_dates: bool = False) -> DataFrame:
-    """Table and list records of a page; the first of each slug is kept, tables before lists."""
-    kinds = [table_records(pages, as_of, extended_dates), list_records(pages, as_of, extended_dates=extended_dates)]
-    both = kinds[0].withColumn("_kind", F.lit(0)).unionByName(kinds[1].withColumn("_kind", F.lit(1)))
-    return first_per_key(both, ["page_id", "slug"], [F.col("_kind"), F.col("strategy"), F.col("position")]).drop("_kind")
+    """Table and list records of a page, read once; the first of each slug is kept, tables before lists."""
+    rows = _rows(pages, _tables(), _items(C.LIST_KEYWORDS))
+    table, listed = _table_fields(as_of, extended_dates), _list_fields(as_of, extended_dates)
+    either = {name: F.when(F.col("kind") == TABLES, c).otherwise(listed[name]) for name, c in table.items()}
+    both = _record(rows, either, [*RECORD, "kind"])
+    return first_per_key(both, ["page_id", "slug"], [F.col("kind"), F.col("strategy"), F.col("position")]).drop("kind")

@@ -176,3 +176,27 @@ def test_plain_pages_are_read_without_the_parser(monkeypatch):
     assert [read(p) for p in mixed] == mixed_want
     monkeypatch.setattr(H._Elements, "feed", None)
     assert [read(p) for p in pages] == want
+
+
+def test_plain_pages_are_read_as_by_the_parser(monkeypatch):
+    """Random pages of plain and other tags, crossed and open ones: the same elements and texts either way."""
+    import random
+
+    from recfuse.sources import html as H
+
+    rng = random.Random(9)
+    parts = ["<p>", "</p>", "<DIV class='a'>", '<div Class="a b" data-testid="t">', "</div>", "<br>", '<img src="x" data-src="y">', '<img data-src="y" >', "</img>",
+             " a &amp; b ", "\n é ", "x > y", "<template>", "</template>", "<!DOCTYPE html>", "<ul><li>", "</ul>", '<a href="u" href="v">', "</a>", "</p >"]
+    rare = ["<!-- c -->", "<script>1 < 2</script>", "<", "a < b", '<i title="a>b">', "<b/>", "<title>t</title>", '<a href="?a&amp;b">', "&lt;"]
+    slow = type("Slow", (H._Elements,), {"_read_plain": lambda self, html: False})
+    for k in range(400):
+        page = "".join(rng.choice(parts if k % 2 or rng.random() < 0.9 else rare) for _ in range(rng.randrange(25)))
+        one, two = [["before"]], [["before"]]
+        assert H._Elements(one).read(page) == slow(two).read(page), page
+        assert one == two, page
+
+
+def test_wiki_pages_are_tokenised_once(spark):
+    """Tables and lists come from one reading of the pages; each had its own before."""
+    plan = PG.wiki_records(_pages(spark, ("https://w.example/list", TABLE)), F.lit(AS_OF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
